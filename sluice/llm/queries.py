@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.llm.packing import pack_texts, token_counts
 from sluice.llm.percentiles import percentiles, summarize
 from sluice.llm.topn import top_n
 
@@ -33,6 +34,19 @@ def p6_found(spark, d):
     return top.select(F.col("grp").alias("region"), F.col("id").alias("sale_id"))
 
 
+def p8_packing(spark, d):
+    packed = pack_texts(table(spark, d, "documents"), table(spark, d, "containers"))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark, d):
+    """How full the containers of each kind are."""
+    each = p8_packing(spark, d).groupBy("container_kind", "capacity", "container_id").agg(F.sum("tokens").alias("t"))
+    return each.groupBy("container_kind").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("t").alias("tokens"), (F.sum("t") / F.sum("capacity")).alias("fill")
+    )
+
+
 def _percentile_sql(keys: str, where: str) -> str:
     ps = ", ".join(f"max(case when r = (n * {p} + 99) // 100 then latency_ms end) as p{p}" for p in (50, 90, 95, 99))
     return f"""
@@ -42,7 +56,7 @@ r as (select {keys}, latency_ms, row_number() over (partition by {keys} order by
 select {keys}, max(n) as n, {ps} from r group by {keys}"""
 
 
-QUERIES = {f.__name__: f for f in (p3_service_percentiles, p3_service_day_percentiles, p3_from_days, p6_found)}
+QUERIES = {f.__name__: f for f in (p3_service_percentiles, p3_service_day_percentiles, p3_from_days, p6_found, p8_packing, p8_fill)}
 
 SQL = {
     "p3_service_percentiles": _percentile_sql("service", ""),
