@@ -92,9 +92,15 @@ def _parsed(raw: DataFrame, feeds: DataFrame, line: str, feed: str) -> DataFrame
         F.col("feed").alias("_feed"), F.col("delim").alias("_delim"), F.col("n_fields").alias("_n"),
         F.split(F.col("header"), F.concat(F.lit("\\Q"), F.col("delim"), F.lit("\\E"))).alias("_names"),
     ).dropDuplicates(["_feed"])
-    return raw.join(spec, raw[feed] == F.col("_feed"), "left").withColumn(
-        "_fields", split_record(F.col(line), F.col("_delim"))
-    )
+    cut = split_record(F.col(line), F.col("_delim"))
+    return raw.join(spec, raw[feed] == F.col("_feed"), "left").withColumn("_fields", _once(cut))
+
+
+def _once(value: Column) -> Column:
+    """``value`` worked out a single time per row: filters and projections that
+    use the result are not pushed below a generator, so its expression is not
+    copied into each of them."""
+    return F.explode(F.array(value))
 
 
 def _text(name: str) -> Column:
@@ -130,7 +136,11 @@ def load_strict(
         & (F.size("_fields") == F.col("_n"))
         & F.forall("_fields", _sound)
         & ~F.col("line").contains('\\"')
-    ).select("offset", "feed", *[_text(t).alias(t) for t in texts], *[_text(f.name).alias(f.name) for f in fields])
+    )
+    names = [*texts, *(f.name for f in fields)]
+    conforming = conforming.select("offset", "feed", _once(F.struct(*[_text(t).alias(t) for t in names])).alias("t")).select(
+        "offset", "feed", "t.*"
+    )
     for f in fields:
         v = F.col(f.name)
         conforming = conforming.filter(v.isNull() | _absent(v) | _readable(v, f))
@@ -157,8 +167,9 @@ def diagnose(left: DataFrame, feeds: DataFrame, fields: tuple[Field, ...] = PEOP
         .when(F.size("_fields") > F.col("_n"), F.lit("too many fields"))
         .when(~F.forall("_fields", _sound), F.lit("line break outside quotes"))
     )
+    read = read.withColumn("_t", _once(F.struct(*[_text(f.name).alias(f.name) for f in fields])))
     for f in fields:
-        v = _text(f.name)
+        v = F.col(f"_t.{f.name}")
         reason = reason.when(~_absent(v) & ~v.rlike(f.pattern), F.lit(f"unreadable {f.name}"))
         reason = reason.when(~_absent(v) & ~_readable(v, f), F.lit(f"{f.name} out of range"))
     return read.select("offset", "feed", "line", reason.otherwise(F.lit("not loaded")).alias("reason"))
