@@ -46,26 +46,29 @@ _SCHEMA = (
 )
 
 
-def weighted_median(hist: DataFrame, keys: list[str], value: str, weight: str, out: str) -> DataFrame:
+def weighted_median(hist: DataFrame, keys: list[str], value: str, weight: str, out: str, cell) -> DataFrame:
     """Median of ``value`` per key (mean of the middle two) from a histogram.
 
-    The cumulative frame streams in value order, so a group of any size spills
-    to disk instead of filling one task's memory.
+    ``cell`` is a coarse, order-keeping bucket of the value with few distinct
+    results. Counts per cell tell which cell holds a middle rank; only that
+    cell's values are then put in order, so no task orders a whole group.
     """
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = hist.withColumn("_cum", F.sum(weight).over(upto))
-    totals = hist.groupBy(*keys).agg(F.sum(weight).alias("_n"))
-    below = F.col("_cum") - F.col(weight)
+    cells = hist.withColumn("_cell", cell).groupBy(*keys, "_cell").agg(F.sum(weight).alias("_c"))
+    ladder = Window.partitionBy(*keys).orderBy("_cell")
+    whole = Window.partitionBy(*keys)
+    below = F.coalesce(F.sum("_c").over(ladder.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hit = lambda k, b, c: (F.col(b) < k) & (k <= F.col(b) + F.col(c))
     low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-    hit = lambda k: (below < k) & (k <= F.col("_cum"))
-    return (
-        ranked.join(totals, keys)
-        .filter(hit(low) | hit(high))
-        .groupBy(*keys)
-        .agg(
-            ((F.max(F.when(hit(low), F.col(value))) + F.max(F.when(hit(high), F.col(value)))) / 2).alias(out)
-        )
+    middle = (
+        cells.withColumns({"_below": below, "_n": F.sum("_c").over(whole)})
+        .filter(hit(low, "_below", "_c") | hit(high, "_below", "_c"))
+        .drop("_c")
     )
+    near = hist.withColumn("_cell", cell).join(middle, [*keys, "_cell"])
+    order = Window.partitionBy(*keys, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = near.withColumn("_at", F.col("_below") + F.sum(weight).over(order) - F.col(weight))
+    pick = lambda k: F.max(F.when(hit(k, "_at", weight), F.col(value)))
+    return placed.groupBy(*keys).agg(((pick(low) + pick(high)) / 2).alias(out))
 
 
 def robust_levels(readings: DataFrame) -> DataFrame:
@@ -74,11 +77,11 @@ def robust_levels(readings: DataFrame) -> DataFrame:
     hist = (
         readings.filter("value > 0").groupBy("source", "value").agg(F.count(F.lit(1)).alias("n"))
     )
-    med = weighted_median(hist, ["source"], "value", "n", "m").select(
+    med = weighted_median(hist, ["source"], "value", "n", "m", F.floor(F.log("value") * 32)).select(
         "source", F.log("m").alias("centre")
     )
     far = hist.join(med, "source").withColumn("d", F.abs(F.log("value") - F.col("centre")))
-    mad = weighted_median(far, ["source"], "d", "n", "spread")
+    mad = weighted_median(far, ["source"], "d", "n", "spread", F.floor(F.col("d") * 128))
     return med.join(mad, "source")
 
 
