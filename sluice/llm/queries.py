@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.llm.clusters import describe_groups, similarity_groups, unit_vectors
 from sluice.llm.packing import pack_texts, token_counts
 from sluice.llm.percentiles import percentiles, summarize
 from sluice.llm.topn import top_n
@@ -34,6 +35,19 @@ def p6_found(spark, d):
     return top.select(F.col("grp").alias("region"), F.col("id").alias("sale_id"))
 
 
+def _groups(spark, d):
+    return similarity_groups(unit_vectors(table(spark, d, "catalog_items"), "item_id", "embedding"))
+
+
+def p7_found(spark, d):
+    return _groups(spark, d).select(F.col("id").alias("item_id"), F.col("head").alias("head_id"))
+
+
+def p7_groups(spark, d):
+    """Each group with its size and most typical items."""
+    return describe_groups(_groups(spark, d)).withColumnRenamed("head", "head_id")
+
+
 def p8_packing(spark, d):
     packed = pack_texts(table(spark, d, "documents"), table(spark, d, "containers"))
     return packed.withColumnRenamed("id", "doc_id")
@@ -56,7 +70,7 @@ r as (select {keys}, latency_ms, row_number() over (partition by {keys} order by
 select {keys}, max(n) as n, {ps} from r group by {keys}"""
 
 
-QUERIES = {f.__name__: f for f in (p3_service_percentiles, p3_service_day_percentiles, p3_from_days, p6_found, p8_packing, p8_fill)}
+QUERIES = {f.__name__: f for f in (p3_service_percentiles, p3_service_day_percentiles, p3_from_days, p6_found, p7_found, p7_groups, p8_packing, p8_fill)}
 
 SQL = {
     "p3_service_percentiles": _percentile_sql("service", ""),
