@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.clusters import describe_groups, similarity_groups, unit_vectors
+from sluice.llm.leaks import leaked
 from sluice.llm.packing import pack_texts, token_counts
 from sluice.llm.percentiles import percentiles, summarize
 from sluice.llm.topn import top_n
@@ -61,6 +62,12 @@ def p8_fill(spark, d):
     )
 
 
+def p9_found(spark, d):
+    docs, items = table(spark, d, "documents"), table(spark, d, "eval_items")
+    got = leaked(docs, items, "doc_id", "text", "eval_id", "passage", share=0.4)
+    return got.select(F.col("doc").alias("doc_id"), F.col("item").alias("eval_id"))
+
+
 def _percentile_sql(keys: str, where: str) -> str:
     ps = ", ".join(f"max(case when r = (n * {p} + 99) // 100 then latency_ms end) as p{p}" for p in (50, 90, 95, 99))
     return f"""
@@ -70,7 +77,7 @@ r as (select {keys}, latency_ms, row_number() over (partition by {keys} order by
 select {keys}, max(n) as n, {ps} from r group by {keys}"""
 
 
-QUERIES = {f.__name__: f for f in (p3_service_percentiles, p3_service_day_percentiles, p3_from_days, p6_found, p7_found, p7_groups, p8_packing, p8_fill)}
+QUERIES = {f.__name__: f for f in (p3_service_percentiles, p3_service_day_percentiles, p3_from_days, p6_found, p7_found, p7_groups, p8_packing, p8_fill, p9_found)}
 
 SQL = {
     "p3_service_percentiles": _percentile_sql("service", ""),
