@@ -9,6 +9,7 @@ from sluice.llm.clusters import describe_groups, similarity_groups, unit_vectors
 from sluice.llm.leaks import leaked
 from sluice.llm.packing import pack_texts, token_counts
 from sluice.llm.percentiles import percentiles, summarize
+from sluice.llm.spam import LEAST_CHARS, stuffed
 from sluice.llm.topn import top_n
 
 
@@ -68,6 +69,12 @@ def p9_found(spark, d):
     return got.select(F.col("doc").alias("doc_id"), F.col("item").alias("eval_id"))
 
 
+def p10_found(spark, d):
+    """Flagged outliers more than half of whose characters are keywords."""
+    judged = stuffed(table(spark, d, "documents"), "doc_id", "text", "lang")
+    return judged.filter((F.col("chars") >= LEAST_CHARS) & F.col("flagged") & (F.col("dense") > 0.5)).select(F.col("id").alias("doc_id"))
+
+
 def _percentile_sql(keys: str, where: str) -> str:
     ps = ", ".join(f"max(case when r = (n * {p} + 99) // 100 then latency_ms end) as p{p}" for p in (50, 90, 95, 99))
     return f"""
@@ -77,7 +84,7 @@ r as (select {keys}, latency_ms, row_number() over (partition by {keys} order by
 select {keys}, max(n) as n, {ps} from r group by {keys}"""
 
 
-QUERIES = {f.__name__: f for f in (p3_service_percentiles, p3_service_day_percentiles, p3_from_days, p6_found, p7_found, p7_groups, p8_packing, p8_fill, p9_found)}
+QUERIES = {f.__name__: f for f in (p3_service_percentiles, p3_service_day_percentiles, p3_from_days, p6_found, p7_found, p7_groups, p8_packing, p8_fill, p9_found, p10_found)}
 
 SQL = {
     "p3_service_percentiles": _percentile_sql("service", ""),
