@@ -482,7 +482,7 @@ def row_call(fn: RowFunction, args: list[Val], s: Scope) -> Val:
     import pandas as pd
 
     batch.__annotations__ = {"frame": pd.DataFrame, "return": pd.DataFrame}
-    udf = F.pandas_udf(batch, out).asNondeterministic()  # called once per row, never copied by the optimizer
+    udf = F.pandas_udf(batch, out)  # its uses in one projection share one call per row; project() keeps the result
     packed = F.struct(*[a.col.alias(f"a{i}") for i, a in enumerate(args)]) if args else F.struct(F.lit(0).alias("a0"))
     got = udf(packed)
     return Val(got["v"], kind, V.errs(*[a.err for a in args], got["e"]))

@@ -343,6 +343,8 @@ class Interpreter:
         names = {n for n, _, _ in notes}
         if names & {"concurrent", "retry", "row_cache"} and title not in S.ROWWISE and env.resolve(title) is None and not title.startswith("ml."):
             raise PipeError(f"only row-wise steps take @{sorted(names)[0]}")
+        if self.store is not None and names & {"cache", "row_cache"} and not isinstance(value, Frame):
+            value = as_frame(self.spark, value)
         if self.store is not None and isinstance(value, Frame):
             if "cache" in names:
                 key = self.store.step_key(call, notes, value)
@@ -552,8 +554,11 @@ class Interpreter:
     def each_driven(self, f, by, body, env):
         """Steps that can't be pushed down (models, side effects): one group
         after another, at most GROUPS of them."""
-        keys = f.data.select(*[F.col(f"`{k}`") for k in by])
-        groups = [r for r in keys.distinct().orderBy(*by).limit(GROUPS + 1).collect()]
+        f = f.kept()
+        first = F.min(f.order[0][0]) if f.order and f.order[0][1] else F.max(f.order[0][0]) if f.order else F.lit(0)
+        counted = f.data.groupBy(*[F.col(f"`{k}`") for k in by]).agg(first.alias(f"{HIDDEN}first"))
+        turn = F.col(f"{HIDDEN}first").asc() if not f.order or f.order[0][1] else F.col(f"{HIDDEN}first").desc()
+        groups = [tuple(r)[:-1] for r in counted.orderBy(turn, *by).limit(GROUPS + 1).collect()]
         if len(groups) > GROUPS:
             raise PipeError(f"each: this sub-pipe runs on the driver, for at most {GROUPS} groups")
         tables, artifacts = [], {}
@@ -567,11 +572,11 @@ class Interpreter:
                 return got
             if isinstance(got, list) and got and all(isinstance(x, dict) for x in got):
                 got = as_frame(self.spark, got)
-            if not isinstance(got, Frame):
+            if not isinstance(got, Frame) or got is g:  # a side effect: the table stays as it was
                 tables = None
                 continue
             for name, a in got.artifacts.items():
-                artifacts.setdefault(name, {})[r[0] if len(by) == 1 else tuple(r)] = a
+                artifacts.setdefault(name, {})[r[0] if len(by) == 1 else r] = a
             for k, v in zip(by, r):
                 if k not in got.columns:
                     got = got.with_data(got.data.withColumn(k, F.lit(v)))

@@ -150,8 +150,37 @@ def _rename(node, name):
     return node
 
 
+def _loose(node, scope):
+    """A superset of the rows that a predicate keeps or fails on, in a shape that
+    reaches the scan; None where there is none. The strict predicate follows."""
+    if not isinstance(node, ast.Binary):
+        return None
+    if node.op in ("and", "or"):
+        a, b = _loose(node.left, scope), _loose(node.right, scope)
+        if node.op == "and":  # a failure on the right needs the left to hold
+            return a
+        return None if a is None or b is None else a | b
+    for field, other, flip in ((node.left, node.right, False), (node.right, node.left, True)):
+        column = C.column_of(field) if isinstance(field, ast.Get) and isinstance(field.value, ast.Name) and field.value.name == "it" else None
+        if column in scope.row and isinstance(other, ast.Lit) and other.value is not None and not isinstance(other.value, bool):
+            v, w = scope.row[column], V.literal(other.value)
+            if not (V.is_number(v) and V.is_number(w)) and not (V.is_text(v) and V.is_text(w)):
+                return None
+            op = {">": "<", "<": ">", ">=": "<=", "<=": ">="}.get(node.op, node.op) if flip else node.op
+            x, y = v.col, F.lit(other.value)
+            if op in ("==", "!="):
+                return x == y if op == "==" else None
+            hit = x > y if op == ">" else x < y if op == "<" else x >= y if op == ">=" else x <= y
+            return hit | x.isNull() if v.nullable else hit
+    return None
+
+
 def filter_(f, call, env, notes):
     body = _lower_lambda(_one(call, "filter"), env)
+    if not _has_window(body):
+        loose = _loose(body, C.row_scope(f, env))
+        if loose is not None:
+            f = f.with_data(f.data.filter(loose))
     f, vals = _compiled(f, {"p": body}, env, notes, windows=True)
     v = vals["p"]
     keep = V.truthy(v)

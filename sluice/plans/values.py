@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -243,9 +242,22 @@ def logic(op: str, a: Val, b: Val) -> Val:
     return Val(got, kind, errs(a.err, b_err))
 
 
-@F.pandas_udf(STRING)
-def _real_text(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None or v is pd.NA else repr(float(v)), na_action=None)
+def _real_text(x: Column) -> Column:
+    """A real number as the language writes it, by text functions alone: plain
+    digits from 1e-4 up to 1e16, else ``1e+16``. The digits are the JVM's."""
+    t = F.abs(x).cast("string")
+    sign = F.when((x < 0) | (x.cast("string").startswith("-")), "-").otherwise("")
+    mantissa, power = F.split_part(t, F.lit("E"), F.lit(1)), F.split_part(t, F.lit("E"), F.lit(2)).try_cast("int")
+    short = F.regexp_replace(mantissa, r"\.0$", "")
+    digits = F.replace(short, F.lit("."), F.lit(""))
+    n = F.char_length(digits)
+    longer = F.concat(digits, F.repeat(F.lit("0"), power + 1 - n), F.lit(".0"))
+    inside = F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    tens = F.concat(F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.char_length(F.abs(power).cast("string"))), F.lit("0")))
+    plain = F.when(~F.contains(t, F.lit("E")), t).when(power.between(0, 15), F.when(n <= power + 1, longer).otherwise(inside))
+    body = plain.when(power.between(-4, -1), small).otherwise(F.concat(short, F.lit("e"), tens))
+    return F.when(F.isnan(x), F.lit("nan")).when(F.abs(x) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, body))
 
 
 def as_text(v: Val, none: str | None = "None") -> Val:
@@ -257,9 +269,7 @@ def as_text(v: Val, none: str | None = "None") -> Val:
     elif isinstance(v.kind, T.BooleanType):
         got = F.when(v.col, "True").when(~v.col, "False")
     elif is_real(v):
-        # JVM and language agree on plain doubles; only the others pay for a UDF
         got = _real_text(v.col.cast("double"))
-        got = F.when(v.col.isNull(), F.lit(None)).otherwise(got)
     elif is_int(v):
         got = v.col.cast("string")
     else:

@@ -103,3 +103,53 @@ select service, day, calls, cast(total as bigint) as total,
   cast(total_30 as double) / nullif(r30, 0) as mean_30, cast(total_30 as double) / 30.0 as daily_30
 from w""",
 }
+
+
+def _people_sql() -> str:
+    """All records with their fields by a regular expression per feed: where the
+    expression does not match the whole record, it is no record of the feed."""
+    feeds = {
+        "crm_export": (",", ["name", "age", "income", "region", "score"]),
+        "branch_upload": (";", ["name", "age", "income", "region", "score"]),
+        "partner_feed": ("\\|", ["region", "name", "score", "age", "income"]),
+        "legacy_dump": ("\t", ["name", "region", "age", "income", "score", "remark"]),
+    }
+    parts = []
+    for feed, (delim, names) in feeds.items():
+        field = f'("(?:[^"]|"")*"|[^"\r\n{delim}]*)'
+        whole = delim.join([field] * len(names))
+        picks = []
+        for i, n in enumerate(names, 1):
+            raw = f"regexp_extract(raw_line, '^{whole}$', {i})"
+            bare = f"case when starts_with({raw}, '\"') then replace(substring({raw}, 2, length({raw}) - 2), '\"\"', '\"') else {raw} end"
+            clean = f"regexp_replace({bare}, '^\\s+|\\s+$', '', 'g')"
+            picks.append(f"case when {clean} = '' or lower({clean}) in ('na', 'n/a', 'null', 'none', 'nan') then null else {clean} end as f_{n}")
+        parts.append(
+            f"select raw_id, regexp_full_match(raw_line, '{whole}') and not contains(raw_line, '\\\"') as fits, "
+            + ", ".join(sorted(p for p in picks if not p.endswith("f_remark")))
+            + f" from people_raw where feed = '{feed}'"
+        )
+    order = ["age", "income", "name", "region", "score"]
+    shaped = [f"select raw_id, fits, {', '.join('f_' + n for n in order)} from ({p}) x{i}" for i, p in enumerate(parts)]
+    return f"""
+with r as ({' union all '.join(shaped)}),
+v as (select *, fits
+  and (f_age is null or (regexp_full_match(f_age, '[0-9]+') and try_cast(f_age as double) between 0 and 120))
+  and (f_income is null or (regexp_full_match(f_income, '[0-9]+') and try_cast(f_income as double) between 0 and 100000000))
+  and (f_score is null or (regexp_full_match(f_score, '[0-9]+(\\.[0-9]*)?|\\.[0-9]+') and try_cast(f_score as double) between 0 and 1)) as valid
+  from r)"""
+
+
+SQL["p1_found"] = _people_sql() + """
+select raw_id from people_raw where raw_id not in (select raw_id from v where valid)"""
+SQL["p1_people"] = _people_sql() + """
+select raw_id, f_name as person_name, cast(f_age as integer) as age, cast(f_income as bigint) as income, f_region as region,
+cast(f_score as double) as score from v where valid"""
+SQL["p5_features"] = """
+select * from (pivot (
+  select service, coalesce(case upper(log_level) when 'ERR' then 'ERROR' when 'WARNING' then 'WARN' else upper(log_level) end, 'none') || '_'
+           || coalesce(cast(status as varchar), 'none') as kind,
+         count(*) as n, cast(coalesce(sum(latency_ms), 0) as bigint) as total,
+         ((select epoch_us(max(log_ts)) from logs where service is not null) - epoch_us(max(log_ts))) / 1000000.0 as age
+  from logs where service is not null group by 1, 2)
+on kind using coalesce(sum(n), 0)::bigint as n, coalesce(sum(total), 0)::bigint as total, max(age) as age_s group by service)"""
