@@ -25,7 +25,7 @@ GRAM = 3  # words of a seed
 RARE = 4  # test items that may share a seed
 SEEDS = 4  # distinct seeds of one item that a stretch must hold at least,
 SEED_SHARE = 0.3  # and of its seeds this part of the share of words asked for
-MATCH, MISS, OPEN, EXTEND = 2.0, -2.0, -5.0, -0.1
+MATCH, MISS, OPEN, EXTEND = 2.0, -2.0, -3.0, -0.1
 EDITS = 1 / 8  # words of a repeated passage that may be changed
 MAX_WORDS = 3_000_000  # words of all test items in one lookup table; more are split into several passes
 

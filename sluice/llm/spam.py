@@ -45,6 +45,7 @@ KANA_KEYWORDS = ("おすすめ",)
 RUN = 20.0  # words in a row without any function word that make a keyword run inside a sentence
 ALONE = 5.0  # the same where whole sentences or lines in a row hold no function word
 LINK_WORDS, KANJI_WORDS = 4.0, 1 / 3  # words that a link, a character of an unspaced script stand for
+SENTENCE_CHARS = 5  # of an unspaced script that a stretch of a sentence has at least
 LEAST_CHARS = 80
 FEATURES = ("dense", "glue", "entropy", "repeat", "marks", "links")
 TOWARDS = (1, -1, -1, 1, 1, 1)  # the direction of spam in each feature
@@ -118,7 +119,7 @@ def describe(text: str) -> tuple[str, float, list[float]]:
             for k in KANA_KEYWORDS:
                 bare = bare.replace(k, "")
             size, weight = float(len(cjk)), max(1.0, len(cjk) * KANJI_WORDS)
-            holds = len(_KANA.findall(bare)) >= 0.3 * len(cjk)
+            holds = len(cjk) >= SENTENCE_CHARS and len(_KANA.findall(bare)) >= 0.3 * len(cjk)
             kana_glue += holds
             counts[cjk] += 1
         else:
