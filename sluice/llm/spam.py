@@ -42,6 +42,9 @@ GLUE = {
 #: Words in hiragana that stand alone as keywords.
 KANA_KEYWORDS = ("おすすめ",)
 
+#: Particles and endings in hiragana that sentences of an unspaced script hold.
+KANA_GLUE = "[はがをにでとも]|した|です|ます"
+
 RUN = 20.0  # words in a row without any function word that make a keyword run inside a sentence
 ALONE = 5.0  # the same where whole sentences or lines in a row hold no function word
 LINK_WORDS, KANJI_WORDS = 4.0, 1 / 3  # words that a link, a character of an unspaced script stand for
@@ -56,6 +59,7 @@ CUT = 20.0  # squared distance; 16.8 holds 99 % of six normal features
 _LINK = re.compile(r"(?:https?|hxxps?|ftp)://[^\s<>\"'\])]+|www\.[^\s<>\"'\])]+|[\w-]+(?:\.[\w-]+)+/[^\s<>\"'\])]*", re.I)
 _TOKEN = re.compile(r"([.!?。！？…]+(?=\s|$|[\"')\]])|[。！？\r\n]+)|\x00L(\d+)\x00|([぀-ヿ㐀-鿿豈-﫿]+)|([^\W_぀-ヿ㐀-鿿豈-﫿]+)")
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]{0,500}>")
+_KANA_GLUE = re.compile(KANA_GLUE)
 _KANA = re.compile(r"[぀-ゟ]")
 _MARK = re.compile(r"[|,;·•»>/#\\\[\]*_\-\t\n]")
 _SETS = {lang: frozenset(words.split()) for lang, words in GLUE.items()}
@@ -119,7 +123,7 @@ def describe(text: str) -> tuple[str, float, list[float]]:
             for k in KANA_KEYWORDS:
                 bare = bare.replace(k, "")
             size, weight = float(len(cjk)), max(1.0, len(cjk) * KANJI_WORDS)
-            holds = len(cjk) >= SENTENCE_CHARS and len(_KANA.findall(bare)) >= 0.3 * len(cjk)
+            holds = len(cjk) >= SENTENCE_CHARS and len(_KANA.findall(bare)) >= 0.3 * len(cjk) and _KANA_GLUE.search(bare) is not None
             kana_glue += holds
             counts[cjk] += 1
         else:
