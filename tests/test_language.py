@@ -207,9 +207,9 @@ def test_retry_calls_again(spark, tmp_path):
 
 
 def test_use_of_programs_and_undefined_names(spark, tmp_path):
-    (tmp_path / "t.pep").write_text("clean = d -> d |> filter(it.v > 1)\n")
+    (tmp_path / "t.flow").write_text("clean = d -> d |> filter(it.v > 1)\n")
     i = Interpreter(spark)
-    assert i.run(f'use "{tmp_path}/t.pep" as t\n[{{v: 1}}, {{v: 2}}] |> t.clean()').rows() == [{"v": 2}]
+    assert i.run(f'use "{tmp_path}/t.flow" as t\n[{{v: 1}}, {{v: 2}}] |> t.clean()').rows() == [{"v": 2}]
     with pytest.raises(PipeError):
         i.run("nope + 1")
     assert isinstance(i.run("[{v: 1}] |> add(w: it.zz)"), Err)

@@ -22,7 +22,7 @@ FEEDS = [("a", ",", "name,age,income,region,score", 5), ("t", "\t", "region\tnam
 # --- rejects ------------------------------------------------------------------------------
 
 
-def reference_valid(line, delim, names):
+def brute_valid(line, delim, names):
     """The record grammar, character by character."""
     if line is None or '\\"' in line:
         return False
@@ -90,7 +90,7 @@ def test_strict_load_agrees_with_the_grammar(spark):
         rows.append((i, feed, line, "clash", 0))
     got = load_strict(raw_table(spark, rows), feeds(spark))
     spec = {f: (d, h.split(d)) for f, d, h, _ in FEEDS}
-    expected = {r[0] for r in rows if not reference_valid(r[2], *spec[r[1]])}
+    expected = {r[0] for r in rows if not brute_valid(r[2], *spec[r[1]])}
     assert {r.offset for r in got.rejects.collect()} == expected
     assert {r.offset for r in got.rows.collect()} == {r[0] for r in rows} - expected
     assert got.rejects.filter("reason = 'not loaded'").count() == 0

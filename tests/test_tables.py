@@ -76,7 +76,7 @@ def test_step_cache(spark, tmp_path):
 
 
 def test_front_matter(spark, tmp_path):
-    p = tmp_path / "p.pep"
+    p = tmp_path / "p.flow"
     p.write_text('---\nquiet: true\ncache: true\n---\n[{v: 1}] |> add(w: it.v + 1) @cache\n')
     assert run_file(spark, str(p)).rows() == [{"v": 1, "w": 2}]
     assert (tmp_path / ".cache" / "steps").exists()
