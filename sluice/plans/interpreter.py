@@ -341,6 +341,12 @@ class Interpreter:
 
     def step(self, title, call, value, env, notes):
         names = {n for n, _, _ in notes}
+        if "progress" in names:  # asked for: one count when the step's rows are there
+            got = self.step(title, call, value, env, tuple(n for n in notes if n[0] != "progress"))
+            if isinstance(got, Frame):
+                bad = 0 if got.errors is None else got.errors.count()
+                print(f"{title}: {got.data.count()} rows, {bad} errors", file=sys.stderr)
+            return got
         if names & {"concurrent", "retry", "row_cache"} and title not in S.ROWWISE and env.resolve(title) is None and not title.startswith("ml."):
             raise PipeError(f"only row-wise steps take @{sorted(names)[0]}")
         if self.store is not None and names & {"cache", "row_cache"} and not isinstance(value, Frame):

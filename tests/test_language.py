@@ -218,3 +218,10 @@ def test_use_of_programs_and_undefined_names(spark, tmp_path):
 def test_reals_as_text_follow_the_language(run):
     values = [0.0, -0.0, 1.5, 123456.789, 1e7, 12345678.5, 1e15, 1e16, 1e22, 1e-4, 0.00012, 1e-5, -2.5e-7, 1e100, 1e-100, math.inf, -math.inf]
     assert [r["t"] for r in run("t |> add(t: str(it.v))", t=[{"v": v} for v in values])] == [str(v) for v in values]
+
+
+def test_progress_and_quiet_steps(spark, capsys):
+    i = Interpreter(spark, LIBRARIES, quiet=False)
+    i.run("[{v: 1}, {v: 0}] |> add(w: 1 / it.v) @progress\n[{v: 1}] |> take(1) quiet")
+    err = capsys.readouterr().err
+    assert "add: 1 rows, 1 errors" in err and "take" not in err
