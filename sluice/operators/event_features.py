@@ -19,14 +19,20 @@ MAX_TYPES = 5_000  # wider tables belong in the long form; raises, never drops
 HELD_GROUPS = 200_000  # partial groups a task holds before handing them on
 
 _KEYS = ["entity", "kind"]
+_SHAPE = pa.schema(
+    [("entity", pa.string()), ("kind", pa.string()), ("n", pa.int64()), ("total", pa.int64()), ("latest", pa.timestamp("us"))]
+)
 _PARTIAL = "entity string, kind string, n bigint, total bigint, latest timestamp_ntz"
 
 
+def _shaped(columns: list) -> pa.Table:
+    """One schema for fresh and for combined rows, so that they can be joined."""
+    return pa.Table.from_arrays(columns, schema=_SHAPE)
+
+
 def _combine(table: pa.Table) -> pa.Table:
     got = table.group_by(_KEYS, use_threads=False).aggregate([("n", "sum"), ("total", "sum"), ("latest", "max")])
-    return pa.table(
-        {"entity": got["entity"], "kind": got["kind"], "n": got["n_sum"], "total": got["total_sum"], "latest": got["latest_max"]}
-    )
+    return _shaped([got[c] for c in ("entity", "kind", "n_sum", "total_sum", "latest_max")])
 
 
 def _partials(batches):
@@ -34,7 +40,7 @@ def _partials(batches):
     for batch in batches:
         if batch.num_rows:
             ones = pa.array(np.ones(batch.num_rows, np.int64))
-            held.append(pa.Table.from_batches([batch]).append_column("n", ones).select(["entity", "kind", "n", "total", "latest"]))
+            held.append(_shaped([batch["entity"], batch["kind"], ones, batch["total"], batch["latest"]]))
             rows += batch.num_rows
         if rows >= HELD_GROUPS:
             table = _combine(pa.concat_tables(held))

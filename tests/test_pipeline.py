@@ -201,6 +201,28 @@ def test_features_match_pandas(spark):
         event_features(many, "s", [F.col("id")], "ts", "id")
 
 
+def test_features_of_a_large_task(spark):
+    """More rows than a task holds at once, with few and with very many groups."""
+    for groups in (50, 300_000):
+        df = spark.range(700_000).coalesce(1).select(
+            (F.col("id") % groups).cast("string").alias("s"), (F.col("id") % 2).alias("k"), F.lit("2020-01-01").cast("timestamp_ntz").alias("ts"), F.lit(2).alias("v")
+        )
+        wide = event_features(df, "s", [F.col("k")], "ts", "v")
+        got = wide.agg(F.count(F.lit(1)), F.sum(F.col("0_n") + F.col("1_n")), F.sum(F.col("0_total") + F.col("1_total"))).first()
+        assert tuple(got) == (groups, 700_000, 1_400_000)
+
+
+def test_spikes_of_a_large_task(spark):
+    """More readings than a task works on at once, stuck ones across the batches."""
+    df = spark.range(620_000).select(
+        F.col("id").alias("i"), F.timestamp_seconds(F.col("id")).cast("timestamp_ntz").alias("ts"), F.when(F.col("id") < 600_000, "hot").otherwise("b").alias("s"),
+        F.when(F.col("id").between(240_000, 260_000), 777).when(F.col("id") % 100_000 == 5, 900_000).otherwise(500 + F.col("id") % 3).alias("v"),
+    )
+    got = flag_implausible(df, "s", "ts", "i", "v", pieces=1)
+    assert {r.id for r in got.filter("stuck").select("id").collect()} == set(range(240_000, 260_001))
+    assert {r.id for r in got.filter("spike and value = 900000").collect()} == {100_000 * k + 5 for k in range(7)}
+
+
 def test_no_module_of_the_core_imports_llm():
     import pathlib
 
