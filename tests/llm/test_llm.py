@@ -63,6 +63,16 @@ def test_top_n_ties_nulls_and_hot_groups(spark):
     assert top_n(df.limit(0), "region", "rev", "id").count() == 0
 
 
+def test_top_n_of_a_large_task(spark):
+    """More rows than a task holds at once, with few and with very many groups."""
+    for groups in (3, 450_000):
+        df = spark.range(900_000).coalesce(1).select("id", (F.col("id") % groups).cast("string").alias("g"), (F.col("id") % 7).alias("v"))
+        got = top_n(df, "g", "v", "id", 2)
+        assert tuple(got.agg(F.count(F.lit(1)), F.countDistinct("grp")).first()) == (2 * groups, groups)
+    few = top_n(spark.range(900_000).coalesce(1).select("id", F.lit("a").alias("g"), (F.col("id") % 7).alias("v")), "g", "v", "id", 2)
+    assert sorted(r.id for r in few.collect()) == [6, 13]
+
+
 # --- groups -------------------------------------------------------------------------------
 
 
