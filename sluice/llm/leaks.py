@@ -6,7 +6,7 @@ once and meets them through a lookup table of the test items alone, whose size i
 checked; nothing of the corpus is shuffled, so copies of one leaked text cannot
 make a hot key. Where enough seeds lie along one stretch of a document,
 Smith-Waterman alignment with affine gaps scores the stretch, and the share of
-the passage's words that the best alignment holds decides.
+the passage's words that the best alignment covers, edited ones among them, decides.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ SEEDS = 4  # distinct seeds of one item that a stretch must hold at least,
 SEED_SHARE = 0.3  # and of its seeds this part of the share of words asked for
 MATCH, MISS, OPEN, EXTEND = 2.0, -2.0, -3.0, -0.1
 EDITS = 1 / 8  # words of a repeated passage that may be changed
+EDGE = 2  # changed words that may lie at the ends of a stretch
+DENSITY = 0.8  # part of a share's least score that must be reached before its words are counted
+FOREIGN = (4, 40)  # words of the foreign sentence that may stand in between
+STOP, DIAGONAL, UP, LEFT = range(4)
 MAX_WORDS = 3_000_000  # words of all test items in one lookup table; more are split into several passes
 
 _MARKUP = re.compile(r"<[^<>]{1,200}>|&lt;/?[a-z][^&]{0,100}&gt;|\[/?[a-zA-Z]+(?:=[^\]]{0,100})?\]|\]\([^)\s]{0,200}\)", re.I)
@@ -99,12 +103,17 @@ class Seeds:
 
 def align(passage: np.ndarray, text: np.ndarray) -> tuple[float, int]:
     """Best local alignment: its score and how many words it matches."""
+    return _fill(passage, text)[:2]
+
+
+def _fill(passage: np.ndarray, text: np.ndarray, steps: list | None = None) -> tuple[float, int, tuple[int, int]]:
+    """``align`` and the cell in which it ends; ``steps`` gets the way into each cell."""
     m = len(text)
     h, e = np.zeros(m + 1), np.full(m + 1, -1e9)
     hm, em = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
     ramp = np.arange(m + 1) * -EXTEND
-    best, matched = 0.0, 0
-    for w in passage:
+    best, matched, end = 0.0, 0, (0, 0)
+    for row, w in enumerate(passage):
         hit = text == w
         # a gap in the text's favour: words of the passage left out
         grow = h + OPEN > e + EXTEND
@@ -122,17 +131,80 @@ def align(passage: np.ndarray, text: np.ndarray) -> tuple[float, int]:
         gap = np.full(m + 1, -1e9)
         gap[1:] = top[:-1] - ramp[1:] + OPEN - EXTEND
         left = gap > new
+        came = np.zeros(m + 1, np.int64)
+        came[1:] = source[:-1]
         if left.any():
-            came = np.zeros(m + 1, np.int64)
-            came[1:] = source[:-1]
             nm = np.where(left, nm[came], nm)
             new = np.where(left, gap, new)
+        if steps is not None:
+            way = np.where(left, LEFT, np.where(up, UP, DIAGONAL)).astype(np.int8)
+            steps.append((np.where(new > 0, way, STOP).astype(np.int8), np.where(up, UP, DIAGONAL).astype(np.int8), grow, came.astype(np.int32)))
         nm = np.where(new > 0, nm, 0)
         h, hm = np.maximum(new, 0), nm
         k = int(h.argmax())
         if h[k] > best:
-            best, matched = float(h[k]), int(hm[k])
-    return best, matched
+            best, matched, end = float(h[k]), int(hm[k]), (row + 1, k)
+    return best, matched, end
+
+
+def pairs(passage: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in passage and text of the words that the best alignment matches.
+    Only the text before its end is traced, as far as passage and gap allow."""
+    i, j = _fill(passage, text)[2]
+    text = text[max(0, j - _reach(len(passage))) : j]
+    steps: list = []
+    i, j = _fill(passage, text, steps)[2]
+    out = []
+    inside = False  # a gap whose start in the same row is no further gap
+    while i and j:
+        way, bare, _, came = steps[i - 1]
+        step = bare[j] if inside else way[j]
+        inside = False
+        if step == STOP:
+            break
+        if step == LEFT:
+            j, inside = int(came[j]), True
+        elif step == UP:
+            while not steps[i - 1][2][j]:
+                i -= 1
+            i -= 1
+        else:
+            if passage[i - 1] == text[j - 1]:
+                out.append((i - 1, j - 1))
+            i, j = i - 1, j - 1
+    at = np.array(out[::-1], np.int64).reshape(-1, 2)
+    return at[:, 0], at[:, 1]
+
+
+def edits_allowed(n):
+    """Of n words, one in eight, and as many more as chance may bring."""
+    return n * EDITS + 1.5 * np.sqrt(n * EDITS * (1 - EDITS))
+
+
+def covered(at: np.ndarray, place: np.ndarray) -> int:
+    """Words of the passage in the longest stretch of matched words between which
+    no more than the allowed edits lie. One longer gap of the text, a foreign
+    sentence, is free. Up to EDGE edited words count at the ends, where an
+    alignment can't see them, if that many edits are left."""
+    n = len(at)
+    if not n:
+        return 0
+    skip, over = np.diff(at) - 1, np.diff(place) - 1
+    cost = np.maximum(skip, over)
+    free = np.where((over - skip >= FOREIGN[0]) & (over - skip <= FOREIGN[1]), cost - skip, 0)
+    best = 0
+    for a in range(n):
+        if at[-1] - at[a] + 1 + EDGE <= best:
+            break
+        span = at[a:] - at[a] + 1
+        edits = np.r_[0, np.cumsum(cost[a:]) - np.maximum.accumulate(free[a:])] if a < n - 1 else np.zeros(1)
+        spare = np.floor(edits_allowed(span + EDGE) - edits)
+        best = max(best, int(np.where(spare >= 0, span + np.minimum(spare, EDGE), 0).max()))
+    return best
+
+
+def _reach(length: int) -> int:
+    return 2 * length + 80
 
 
 def stretches(at, place, length: int, need: int):
@@ -140,7 +212,7 @@ def stretches(at, place, length: int, need: int):
     distinct seeds: (first, last) word places."""
     order = np.argsort(place, kind="stable")
     at, place = at[order], place[order]
-    reach = 2 * length + 80
+    reach = _reach(length)
     out: list[list[int]] = []
     a = 0
     for b in range(len(place)):
@@ -158,8 +230,9 @@ def stretches(at, place, length: int, need: int):
 def leaked(docs: DataFrame, items: DataFrame, id: str, text: str, item: str, passage: str, share: float, blocks_of: int = MAX_WORDS) -> DataFrame:
     """``doc, item, score, held``: documents and the test items they repeat,
     with the best alignment's score and the share of the passage's words that
-    it matches. The score must reach that of ``share`` of the passage with one
-    word in eight changed. One row per document row and item.
+    it covers, which must reach ``share``: matched words and between them about
+    one in eight changed, one foreign sentence not counted. The score must only
+    reach that of a likeness which is no chance. One row per document row and item.
 
     Null and empty texts and passages match nothing; passages of fewer than
     SEEDS + GRAM - 1 words are too short to be told apart and match nothing.
@@ -183,8 +256,12 @@ def leaked(docs: DataFrame, items: DataFrame, id: str, text: str, item: str, pas
 
 
 def _search(table, share: float):
-    # the score of that share of the passage with all the edits allowed
-    least = share * (MATCH * (1 - EDITS) + MISS * EDITS)
+    # the score under which no stretch of that share can be: all its edits gaps, and the foreign sentence
+    def least(n):
+        words = math.ceil(share * n)
+        edits = edits_allowed(words)
+        return max(0.0, MATCH * (words - edits) + OPEN * (edits + 1) + EXTEND * FOREIGN[1]) * DENSITY
+
 
     def run(frames):
         seeds: Seeds = table.value
@@ -205,11 +282,14 @@ def _search(table, share: float):
                     if b - a < need:
                         continue
                     p = seeds.passages[n]
-                    best = (0.0, 0)
+                    best = (0, 0.0)
                     for lo, hi in stretches(at[a:b], place[a:b], len(p), need):
-                        best = max(best, align(p, ids[max(0, lo) : hi]))
-                    if best[0] >= least * len(p):
-                        found.append((doc, int(seeds.ids[n]), best[0], best[1] / len(p)))
+                        piece = ids[max(0, lo) : hi]
+                        score = align(p, piece)[0]
+                        if score >= least(len(p)):
+                            best = max(best, (covered(*pairs(p, piece)), score))
+                    if best[0] >= share * len(p):
+                        found.append((doc, int(seeds.ids[n]), best[1], best[0] / len(p)))
             yield pd.DataFrame(found, columns=["doc", "item", "score", "held"])
 
     return run

@@ -209,6 +209,26 @@ def test_leaks_found_edited_partial_and_interrupted(spark):
     assert leaked(d, e.limit(0), "doc_id", "text", "eval_id", "passage", 0.4).count() == 0
 
 
+def test_leaks_are_decided_by_the_covered_share(spark):
+    """Quotes of 45 % with words dropped or replaced and a foreign sentence are
+    found; exact quotes of a third are not."""
+    rng = random.Random(11)
+    items = [(i, prose(rng, 100)) for i in range(24)]
+    docs = []
+    for i, p in items:
+        w = p.split()
+        if i < 16:
+            part = [x if k % 8 != 5 else "other" for k, x in enumerate(w[30:75]) if k % 8 != 5 or i % 2]
+            if i % 4 < 2:
+                part[20:20] = prose(rng, 15).split()
+        else:
+            part = w[30:63]
+        docs.append((i, prose(rng, 30) + " " + " ".join(part) + " " + prose(rng, 30)))
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "eval_id bigint, passage string")
+    got = [(r.doc, r.item) for r in leaked(d, e, "doc_id", "text", "eval_id", "passage", 0.4).collect()]
+    assert sorted(got) == [(i, i) for i in range(16)]
+
+
 def test_alignment_score():
     a = np.arange(20)
     assert align(a, a) == (40.0, 20)
