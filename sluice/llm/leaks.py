@@ -1,7 +1,8 @@
 """Held-out passages inside a corpus, also edited, partial and reordered in layout.
 
 Texts become words free of case, punctuation, markup and invisible characters.
-Word n-grams that are rare among the test items are the seeds: the corpus is read
+Word n-grams that are rare among the different passages are the seeds, and where
+a stretch of a passage has few of them its least frequent ones: the corpus is read
 once and meets them through a lookup table of the test items alone, whose size is
 checked; nothing of the corpus is shuffled, so copies of one leaked text cannot
 make a hot key. Where enough seeds lie along one stretch of a document,
@@ -22,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GRAM = 3  # words of a seed
-RARE = 4  # test items that may share a seed
+RARE = 4  # different passages that may share a seed
+POOR, WINDOW_SEEDS = 8, 16  # a stretch of the share asked for with fewer seeds than the first gets its least frequent n-grams, up to the second
 SEEDS = 4  # distinct seeds of one item that a stretch must hold at least,
-SEED_SHARE = 0.3  # and of its seeds this part of the share of words asked for
+SEED_SHARE = 0.3  # and this part of the seeds in the poorest stretch of the share asked for
 MATCH, MISS, OPEN, EXTEND = 2.0, -2.0, -3.0, -0.1
 EDITS = 1 / 8  # words of a repeated passage that may be changed
 EDGE = 2  # changed words that may lie at the ends of a stretch
@@ -49,12 +51,14 @@ def words(text: str) -> list[str]:
 class Seeds:
     """The lookup table of the test items."""
 
-    def __init__(self, items: list[tuple[int, str]], gram: int = GRAM, rare: int = RARE):
+    def __init__(self, items: list[tuple[int, str]], gram: int = GRAM, rare: int = RARE, share: float = 0.4):
         self.gram = gram
-        self.ids = np.array([i for i, _ in items], np.int64)
-        split = [words(t or "") for _, t in items]
-        self.vocabulary = {w: k for k, w in enumerate(sorted({w for ws in split for w in ws}))}
-        self.passages = [np.array([self.vocabulary[w] for w in ws], np.int64) for ws in split]
+        same: dict[tuple, list[int]] = {}  # the items of each different passage
+        for i, t in items:
+            same.setdefault(tuple(words(t or "")), []).append(i)
+        self.ids = [np.array(i, np.int64) for i in same.values()]
+        self.vocabulary = {w: k for k, w in enumerate(sorted({w for ws in same for w in ws}))}
+        self.passages = [np.array([self.vocabulary[w] for w in ws], np.int64) for ws in same]
         keys, owner, at = [], [], []
         for n, p in enumerate(self.passages):
             k = self.keys(p)
@@ -62,16 +66,30 @@ class Seeds:
             owner.append(np.full(len(k), n))
             at.append(np.arange(len(k)))
         keys, owner, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, owner, at))
-        order = np.lexsort((at, owner, keys))
-        keys, owner, at = keys[order], owner[order], at[order]
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
+        place = np.lexsort((at, owner, keys))
+        starts = np.flatnonzero(np.r_[True, np.diff(keys[place]) != 0]) if len(keys) else np.zeros(0, int)
         ends = np.r_[starts[1:], len(keys)]
-        few = np.array([len(np.unique(owner[a:b])) <= rare for a, b in zip(starts, ends)], bool)
-        self.key = keys[starts][few]
-        self.start, self.end, self.owner, self.at = starts[few], ends[few], owner, at
-        self.seeds = np.zeros(len(self.passages), np.int64)  # distinct seeds of each item
-        for a, b in zip(self.start, self.end):
-            self.seeds[np.unique(owner[a:b])] += 1
+        shared = np.zeros(len(keys), np.int64)  # passages that hold the n-gram, in the order of the passages
+        shared[place] = np.repeat([len(np.unique(owner[place[a:b]])) for a, b in zip(starts, ends)], ends - starts) if len(keys) else 0
+        keep = shared <= rare
+        self.need = np.full(len(self.passages), SEEDS)  # seeds of each passage that a stretch must hold
+        first = np.searchsorted(owner, np.arange(len(self.passages) + 1))
+        for n, (a, b) in enumerate(zip(first, first[1:])):
+            wide = math.ceil(share * (b - a))
+            if not wide:
+                continue
+            own, often = keep[a:b], shared[a:b]
+            for k in range(b - a - wide + 1):
+                if (has := int(own[k : k + wide].sum())) < min(wide, POOR):
+                    rest = k + np.flatnonzero(~own[k : k + wide])
+                    own[rest[np.argsort(often[rest], kind="stable")[: WINDOW_SEEDS - has]]] = True
+            total = np.r_[0, np.cumsum(own)]
+            self.need[n] = max(SEEDS, math.ceil(SEED_SHARE * int((total[wide:] - total[:-wide]).min())))
+        place = place[keep[place]]
+        keys, self.owner, self.at = keys[place], owner[place], at[place]
+        self.start = np.flatnonzero(np.r_[True, np.diff(keys) != 0]) if len(keys) else np.zeros(0, int)
+        self.end = np.r_[self.start[1:], len(keys)]
+        self.key = keys[self.start]
 
     def keys(self, ids: np.ndarray) -> np.ndarray:
         """One number per n-gram; -1 where a word is in no test item."""
@@ -249,7 +267,7 @@ def leaked(docs: DataFrame, items: DataFrame, id: str, text: str, item: str, pas
     out = None
     for b in range(blocks):
         part = [(r[0], r[1]) for r in sized.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).select("i", "p").collect()]
-        table = spark.sparkContext.broadcast(Seeds(part))
+        table = spark.sparkContext.broadcast(Seeds(part, share=share))
         got = rows.mapInPandas(_search(table, share), schema)
         out = got if out is None else out.unionByName(got)
     return out
@@ -278,7 +296,7 @@ def _search(table, share: float):
                 cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
                 for a, b in zip(cuts, np.r_[cuts[1:], len(owner)]):
                     n = int(owner[a])
-                    need = max(SEEDS, math.ceil(SEED_SHARE * share * seeds.seeds[n]))
+                    need = int(seeds.need[n])
                     if b - a < need:
                         continue
                     p = seeds.passages[n]
@@ -289,7 +307,7 @@ def _search(table, share: float):
                         if score >= least(len(p)):
                             best = max(best, (covered(*pairs(p, piece)), score))
                     if best[0] >= share * len(p):
-                        found.append((doc, int(seeds.ids[n]), best[1], best[0] / len(p)))
+                        found += [(doc, int(i), best[1], best[0] / len(p)) for i in seeds.ids[n]]
             yield pd.DataFrame(found, columns=["doc", "item", "score", "held"])
 
     return run

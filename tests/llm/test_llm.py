@@ -229,6 +229,17 @@ def test_leaks_are_decided_by_the_covered_share(spark):
     assert sorted(got) == [(i, i) for i in range(16)]
 
 
+def test_leaks_of_passages_that_many_items_hold(spark):
+    """Equal passages, and unlike ones that share most of their text, keep seeds."""
+    rng = random.Random(12)
+    same, shared = prose(rng, 100), prose(rng, 90)
+    items = [(i, same if i % 2 else same.upper() + "!") for i in range(8)] + [(i, f"{prose(rng, 5)} {shared} {prose(rng, 5)}") for i in range(10, 18)] + [(i, prose(rng, 100)) for i in range(20, 30)]
+    docs = [(1, f"{prose(rng, 30)} {edit(rng, same)} {prose(rng, 30)}"), (2, f"{prose(rng, 30)} {edit(rng, ' '.join(shared.split()[20:70]))} {prose(rng, 30)}"), (3, prose(rng, 200))]
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "eval_id bigint, passage string")
+    got = [(r.doc, r.item) for r in leaked(d, e, "doc_id", "text", "eval_id", "passage", 0.4).collect()]
+    assert sorted(got) == [(1, i) for i in range(8)] + [(2, i) for i in range(10, 18)]
+
+
 def test_alignment_score():
     a = np.arange(20)
     assert align(a, a) == (40.0, 20)
