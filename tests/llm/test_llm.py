@@ -277,6 +277,17 @@ def test_spam_separates_lists_from_sentences(spark):
     assert stuffed(df.limit(0), "doc_id", "text", "lang").count() == 0
 
 
+def test_stuffed_texts_make_no_norm(spark):
+    """As many stuffed texts of unknown language as there may be, alone or with reviews."""
+    rng = random.Random(4)
+    nouns = ["lamp", "kettle", "cheap", "sale", "shop", "mattress", "deal", "toaster", "new", "online"]
+    bad = [(i, ", ".join(rng.choice(nouns) for _ in range(rng.randrange(20, 60))), None) for i in range(80)]
+    good = [(1000 + i, " ".join(f"The lamp was {rng.choice(['fine', 'blue', 'loud'])} and stood in the kitchen for {rng.randrange(90)} days." for _ in range(rng.randrange(2, 9))), None) for i in range(160)]
+    for rows in (bad + good, bad, bad[:3], [(i, t, "xx") for i, t, _ in bad] + good):
+        got = stuffed(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "doc_id", "text", "lang").filter("flagged and dense > 0.5").collect()
+        assert {r.id for r in got} == {i for i, *_ in rows if i < 1000}
+
+
 def test_density_does_not_depend_on_layout():
     keys = ["air mattress", "sale", "bike pump", "cheap rucksack"] * 6
     for sep in (", ", " | ", "\n", " · ", "; ", "\t", ". ", " - ", "/"):
