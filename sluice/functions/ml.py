@@ -8,9 +8,10 @@ import re
 from typing import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,10 +20,11 @@ from pyspark.sql import types as T
 from sluice.plans import values as V
 from sluice.plans.frame import HIDDEN, Frame
 from sluice.plans.values import PipeError
-from sluice.runtime import materialize
+from sluice.runtime import materialize, parts_for, shuffle_partitions
 
 FEATURES = f"{HIDDEN}features"
-SILHOUETTE_ROWS = 5_000  # above this the exact score is taken over blocks of a seeded sample
+BLOCK_NUMBERS = 1_000_000  # numbers of the rows in a block of the silhouette
+BLOCK_ROWS = 8_000  # rows of such a block at most
 
 #: provider name -> function(text, settings) -> vector or text; set by the user
 PROVIDERS: dict[str, dict[str, Callable]] = {"embed": {}, "llm": {}}
@@ -79,14 +81,60 @@ def kmeans(f: Frame, k=3, on: str | None = None, out: str = "cluster", method: s
 
 
 def _score(labelled: DataFrame, label: str) -> float:
-    """Exact euclidean silhouette of the rows, or of a seeded sample of
-    SILHOUETTE_ROWS of a larger table."""
-    n = labelled.count()
-    picked = labelled if n <= SILHOUETTE_ROWS else labelled.orderBy(F.xxhash64(F.col(FEATURES).cast("string"))).limit(SILHOUETTE_ROWS)
-    got = picked.select(label, FEATURES).collect()
-    x = np.array([r[1].toArray() for r in got])
-    y = np.array([r[0] for r in got])
-    return exact_silhouette(x, y)
+    """Exact euclidean silhouette of all rows. Rows are dealt into blocks of
+    bounded size; against each block in turn every row sums its distances per
+    cluster. Rows without label are left out."""
+    spark = labelled.sparkSession
+    rows = labelled.select(F.col(label).alias("y"), vector_to_array(F.col(FEATURES)).alias("x")).filter("y is not null")
+    rows = materialize(rows.repartition(shuffle_partitions(spark)).withColumn("id", F.monotonically_increasing_id()))
+    count = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(count.values())
+    if len(count) < 2 or len(count) >= n:
+        raise PipeError("silhouette needs at least two clusters and fewer than rows")
+    number = {y: k for k, y in enumerate(sorted(count))}
+    sizes = np.array([count[y] for y in sorted(count)], float)
+    width = max(1, rows.agg(F.max(F.size("x"))).first()[0])
+    blocks = parts_for(n, max(1, min(BLOCK_ROWS, BLOCK_NUMBERS // width)))
+    sums = None
+    for b in range(blocks):
+        got = rows.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
+        if not got:
+            continue
+        block = np.array([r["id"] for r in got]), np.array([number[r["y"]] for r in got]), np.array([r["x"] for r in got], float)
+        part = rows.mapInPandas(_distance_sums(spark.sparkContext.broadcast(block), number), "id bigint, own int, c int, s double")
+        sums = part if sums is None else sums.unionByName(part)
+
+    def score(frames):
+        for pdf in frames:
+            own, total = pdf["own"].to_numpy(), np.array(pdf["s"].tolist(), float)
+            r = np.arange(len(pdf))
+            a, means = total[r, own] / np.maximum(1, sizes[own] - 1), total / sizes
+            means[r, own] = np.inf
+            b = means.min(1)
+            yield pd.DataFrame({"v": np.where(sizes[own] == 1, 0.0, (b - a) / np.maximum(np.maximum(a, b), 1e-300))})
+
+    each = sums.groupBy("id", "own", "c").agg(F.sum("s").alias("s")).groupBy("id", "own").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).s.alias("s"))
+    return float(each.mapInPandas(score, "v double").agg(F.avg("v")).first()[0])
+
+
+def _distance_sums(block, number: dict):
+    """Per row and cluster, the sum of the distances to the cluster's rows in a block."""
+
+    def run(frames):
+        ids, c, z = block.value
+        hot = np.eye(len(number))[c]
+        norms = (z * z).sum(1)
+        for pdf in frames:
+            for s in range(0, len(pdf), 256):
+                part = pdf[s : s + 256]
+                x, id = np.array(part["x"].tolist(), float), part["id"].to_numpy()
+                d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + norms[None, :] - 2 * x @ z.T))
+                d[id[:, None] == ids[None, :]] = 0.0
+                own = [number[y] for y in part["y"].tolist()]
+                k = len(number)
+                yield pd.DataFrame({"id": np.repeat(id, k), "own": np.repeat(own, k), "c": np.tile(np.arange(k), len(id)), "s": (d @ hot).ravel()})
+
+    return run
 
 
 def exact_silhouette(x: np.ndarray, y: np.ndarray) -> float:

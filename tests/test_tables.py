@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,20 @@ def test_models(spark):
     assert isinstance(i.run("t |> ml.umap(dims: 2)"), Err)
 
 
+def test_silhouette_takes_all_rows(spark):
+    rng = np.random.default_rng(5)
+    x = np.r_[rng.normal(0, 1, (5000, 3)), rng.normal(2, 1, (1200, 3)), [[9.0, 9.0, 9.0]]]
+    y = np.repeat([0, 1, 2], [5000, 1200, 1])
+    t = table(spark.createDataFrame([(int(c), [float(u) for u in v]) for c, v in zip(y, x)], "c int, v array<double>").repartition(3), spark)
+    want = ml.exact_silhouette(x, y)
+    assert ml.silhouette(t.frame, "c", "v") == pytest.approx(want, abs=1e-9)
+    few, ml.BLOCK_ROWS = ml.BLOCK_ROWS, 700  # many blocks
+    try:
+        assert ml.silhouette(t.frame, "c", "v") == pytest.approx(want, abs=1e-9)
+    finally:
+        ml.BLOCK_ROWS = few
+
+
 def test_remote_models_by_provider(spark):
     ml.provide("llm", "fake", lambda text, s: '```json\n{"n": ' + str(len(text)) + "}\n```" if text != "bad" else "no json")
     ml.provide("embed", "fake", lambda text, s: [float(len(text)), 1.0])
