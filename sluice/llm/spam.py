@@ -40,6 +40,15 @@ GLUE = {
         mis nuestro nuestra su sus no más si pero como que quien donde se ha han después antes todo toda sin muy ya me te le
         hasta llevo""",
 }
+#: Function words that search phrases hold too, and those that open a phrase asking something,
+#: after which any function word may follow.
+PHRASE_GLUE = frozenset(
+    """a an and or of to in on at from by with for over off out best für mit und oder von zu zum zur im in an am auf aus bei
+    ein eine einen einem einer et ou du au aux dans sur pour avec par sans un une des y o del al sobre para con por sin
+    chez""".split()
+)
+ASKING = frozenset("how what which where who when wie wer comment quel quelle où qui que como cómo quien dónde cuál".split())
+
 #: Words in hiragana that stand alone as keywords.
 KANA_KEYWORDS = ("おすすめ",)
 
@@ -50,6 +59,8 @@ RUN = 20.0  # words in a row without any function word that make a keyword run i
 ALONE = 5.0  # the same where whole sentences or lines in a row hold no function word
 LINK_WORDS, KANJI_WORDS = 4.0, 1 / 3  # words that a link, a character of an unspaced script stand for
 SENTENCE_CHARS = 5  # of an unspaced script that a stretch of a sentence has at least
+PHRASE_WORDS = 10  # words of a search phrase at most; where phrases follow without a mark, words to each of the text's top word
+PHRASES, HEAD_SHARE = 5, 0.5  # search phrases that a text holds at least; of these, the share that holds one of its top words
 LEAST_CHARS = 80
 FEATURES = ("dense", "glue", "entropy", "repeat", "marks", "links")
 TOWARDS = (1, -1, -1, 1, 1, 1)  # the direction of spam in each feature
@@ -65,6 +76,7 @@ _TOKEN = re.compile(r"([.!?。！？…]+(?=\s|$|[\"')\]])|[。！？\r\n]+)|\x0
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]{0,500}>")
 _KANA_GLUE = re.compile(KANA_GLUE)
 _KANA = re.compile(r"[぀-ゟ]")
+_PIECE = re.compile(r"[,|;·•»>/#\\\[\]\t]| [-–—*] ")
 _MARK = re.compile(r"[|,;·•»>/#\\\[\]*_\-\t\n]")
 _SETS = {lang: frozenset(words.split()) for lang, words in GLUE.items()}
 _ALL = frozenset().union(*_SETS.values())
@@ -83,38 +95,48 @@ def describe(text: str) -> tuple[str, float, list[float]]:
     plain = _TAG.sub(lambda m: " " + " ".join(re.findall(r"\x00L\d+\x00", m.group())) + " ", plain)
     # the run since the last function word; the unit (sentence or line) under way;
     # the units before it, as far back as none holds a function word
-    run_w = run_c = unit_w = unit_c = past_w = past_c = 0.0
-    dense_chars = chars = link_chars = 0.0
+    run_w = unit_w = past_w = 0.0
+    chars = link_chars = 0.0
     held = False
+    sizes: list[float] = []  # of every token, and whether it is keyword text
+    dense: list[bool] = []
+    run_at = unit_at = past_at = 0  # the tokens at which run, unit and units before it begin
+    pieces: list[tuple[int, list[str]]] = []  # first token and words of each piece between marks and ends of sentences
+    last = 0
     counts: Counter = Counter()
     glue = n = 0
     by = dict.fromkeys(_SETS, 0)
     kana_glue = 0
 
     def end_run():
-        nonlocal run_w, run_c, dense_chars
+        nonlocal run_w
         if held and run_w >= RUN:
-            dense_chars += run_c
-        run_w = run_c = 0.0
+            dense[run_at:] = [True] * (len(dense) - run_at)
+        run_w = 0.0
 
     def end_past():
-        nonlocal past_w, past_c, dense_chars
+        nonlocal past_w
         if past_w >= ALONE:
-            dense_chars += past_c
-        past_w = past_c = 0.0
+            dense[past_at:unit_at] = [True] * (unit_at - past_at)
+        past_w = 0.0
 
     def end_unit():
-        nonlocal held, unit_w, unit_c, past_w, past_c, run_w, run_c
+        nonlocal held, unit_w, past_w, run_w, run_at, unit_at, past_at
         if held:
             end_run()
+            past_at = len(sizes)
         else:
-            past_w, past_c = past_w + unit_w, past_c + unit_c
-            run_w = run_c = 0.0
-        unit_w = unit_c = 0.0
+            past_w += unit_w
+            run_w = 0.0
+        unit_w = 0.0
+        run_at = unit_at = len(sizes)
         held = False
 
     for m in _TOKEN.finditer(plain):
         stop, link, cjk, word = m.groups()
+        if stop or not pieces or _PIECE.search(plain, last, m.start()):
+            pieces.append((len(sizes), []))
+        last = m.end()
         if stop:
             end_unit()
             continue
@@ -140,17 +162,23 @@ def describe(text: str) -> tuple[str, float, list[float]]:
             counts[low] += 1
         n += 1
         chars += size
+        pieces[-1][1].append(low if word else "\x00")
         if holds:
             glue += 1
             if not held:
                 end_past()
             held = True  # from here on the unit counts as a sentence, the run so far too
             end_run()
+            run_at = len(sizes) + 1
         else:
-            run_w, run_c = run_w + weight, run_c + size
-            unit_w, unit_c = unit_w + weight, unit_c + size
+            run_w, unit_w = run_w + weight, unit_w + weight
+        sizes.append(size)
+        dense.append(False)
     end_unit()
     end_past()
+    for a, b in _phrases(pieces):
+        dense[a:b] = [True] * (b - a)
+    dense_chars = sum(c for c, d in zip(sizes, dense) if d)
     if not n:
         return "", float(len(text)), [0.0, 0.0, 1.0, 0.0, 0.0, 0.0]
     freq = np.fromiter(counts.values(), float) / n
@@ -162,6 +190,25 @@ def describe(text: str) -> tuple[str, float, list[float]]:
     ]
 
 
+def _phrases(pieces: list[tuple[int, list[str]]]) -> list[tuple[int, int]]:
+    """Tokens of search phrases: pieces without the function words of sentences
+    that repeat the content words found in most of such pieces."""
+    found = []
+    for at, words in pieces:
+        glue = [w for w in words if w in _ALL]
+        if words and "\x00" not in words and (len(glue) < len(words)) and ((words[0] in ASKING and len(words) <= PHRASE_WORDS) or PHRASE_GLUE.issuperset(glue)):
+            found.append((at, words, {w for w in words if w not in _ALL and len(w) > 2 and not w.isdigit()}))
+    count = Counter(w for _, words, _ in found for w in words)
+    units = sum(max(1, len(words) // PHRASE_WORDS) for _, words, _ in found)
+    top = {w for w, c in count.items() if w not in _ALL and len(w) > 2 and c >= max(PHRASES, HEAD_SHARE * units)}
+    if not top:
+        return []
+    return [
+        (at, at + len(words)) for at, words, content in found
+        if content & top and (len(words) <= PHRASE_WORDS or PHRASE_WORDS * max(words.count(w) for w in top) >= len(words))
+    ]
+
+
 def text_features(df: DataFrame, id: str, text: str, lang: str | None = None) -> DataFrame:
     """``id, lang, sure, chars, FEATURES...``; whole texts. The language is told
     by the text's function words (``sure``), else by the first two letters of

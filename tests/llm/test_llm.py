@@ -295,6 +295,18 @@ def test_density_does_not_depend_on_layout():
     assert describe("I really really really liked it, and the kids did too.")[2][0] == 0.0
 
 
+def test_search_phrases_with_function_words():
+    keys = ["best tea pot for small kitchens", "how to clean a tea pot", "tea pot with lid", "tea pot for two", "tea pot in blue", "what is the best tea pot"] * 2
+    for sep in (", ", " | ", "\n", "; ", ". "):
+        assert describe(sep.join(keys))[2][0] > 0.9
+    assert describe(" ".join(k for k in keys if not k.startswith(("how", "what"))))[2][0] > 0.9
+    for text in (
+        "The tea pot is fine, and the lid of the tea pot fits. I use the tea pot in the kitchen, my sister has a tea pot too. It was a good tea pot.",
+        "I bought it for my sister, for my mother, for my aunt, and for all of us in the house. They were really, really, really happy with it.",
+    ):
+        assert describe(text)[2][0] == 0.0
+
+
 # --- queries ------------------------------------------------------------------------------
 
 
