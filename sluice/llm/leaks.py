@@ -1,12 +1,14 @@
 """Held-out passages inside a corpus, also edited, partial and reordered in layout.
 
-Texts become words free of case, punctuation, markup and invisible characters.
-Word n-grams that are rare among the different passages are the seeds, and where
-a stretch of a passage has few of them its least frequent ones: the corpus is read
-once and meets them through a lookup table of the test items alone, whose size is
-checked; nothing of the corpus is shuffled, so copies of one leaked text cannot
-make a hot key. Where enough seeds lie along one stretch of a document,
-Smith-Waterman alignment with affine gaps scores the stretch, and the share of
+Texts become words free of case, punctuation, markup and invisible characters,
+and these become numbers. Word n-grams that are rare among all the different
+passages are the seeds, and where a stretch of a passage has few of them its least
+frequent ones. A join on the n-grams' numbers brings passages and texts together;
+before it, a bitmap of the seeds drops the texts that cannot hold enough of them.
+The bitmap has a greatest size at any number of test items: when full it drops less,
+and the join decides all the same. Nothing of the corpus but such texts is
+shuffled. Where enough seeds lie along one stretch of a text, Smith-Waterman
+alignment with affine gaps scores the stretch, many at a time, and the share of
 the passage's words that the best alignment covers, edited ones among them, decides.
 """
 
@@ -16,174 +18,263 @@ import html
 import math
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.runtime import materialize
+
 GRAM = 3  # words of a seed
 RARE = 4  # different passages that may share a seed
 POOR, WINDOW_SEEDS = 8, 16  # a stretch of the share asked for with fewer seeds than the first gets its least frequent n-grams, up to the second
 SEEDS = 4  # distinct seeds of one item that a stretch must hold at least,
 SEED_SHARE = 0.3  # and this part of the seeds in the poorest stretch of the share asked for
-MATCH, MISS, OPEN, EXTEND = 2.0, -2.0, -3.0, -0.1
+SCALE = 10  # scores are whole numbers of tenths
+MATCH, MISS, OPEN, EXTEND = 20, -20, -30, -1
 EDITS = 1 / 8  # words of a repeated passage that may be changed
 EDGE = 2  # changed words that may lie at the ends of a stretch
 DENSITY = 0.8  # part of a share's least score that must be reached before its words are counted
 FOREIGN = (4, 40)  # words of the foreign sentence that may stand in between
+MOST_BITS = 2**29  # of the bitmap: 64 MB
+BITS_A_SEED = 64
+CELLS = 40_000  # of one row of all alignments that are worked on together
 STOP, DIAGONAL, UP, LEFT = range(4)
-MAX_WORDS = 3_000_000  # words of all test items in one lookup table; more are split into several passes
+GREW, OPENED, BARE_UP = 4, 8, 16  # further marks of a cell: see _fill
+NO_WORD, NO_TEXT = 2**40, 2**41  # fill up passages, texts to one length
 
 _MARKUP = re.compile(r"<[^<>]{1,200}>|&lt;/?[a-z][^&]{0,100}&gt;|\[/?[a-zA-Z]+(?:=[^\]]{0,100})?\]|\]\([^)\s]{0,200}\)", re.I)
 _WORD = re.compile(r"[^\W_]+")
 _APART = re.compile(r"(?<=[぀-ヿ㐀-鿿])(?=[぀-ヿ㐀-鿿])")
+_KNOWN_WORDS = 1_000_000  # words whose number a worker remembers
+_numbers: dict[str, int] = {}
 
 
 def words(text: str) -> list[str]:
     """Comparable words: scripts without blanks give single characters."""
-    text = html.unescape(html.unescape(_MARKUP.sub(" ", html.unescape(text))))
-    text = unicodedata.normalize("NFKC", text)
-    text = "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Mn") or c == "\n") if not text.isascii() else text
-    return _WORD.findall(_APART.sub(" ", text.casefold()))
-
-
-class Seeds:
-    """The lookup table of the test items."""
-
-    def __init__(self, items: list[tuple[int, str]], gram: int = GRAM, rare: int = RARE, share: float = 0.4):
-        self.gram = gram
-        same: dict[tuple, list[int]] = {}  # the items of each different passage
-        for i, t in items:
-            same.setdefault(tuple(words(t or "")), []).append(i)
-        self.ids = [np.array(i, np.int64) for i in same.values()]
-        self.vocabulary = {w: k for k, w in enumerate(sorted({w for ws in same for w in ws}))}
-        self.passages = [np.array([self.vocabulary[w] for w in ws], np.int64) for ws in same]
-        keys, owner, at = [], [], []
-        for n, p in enumerate(self.passages):
-            k = self.keys(p)
-            keys.append(k)
-            owner.append(np.full(len(k), n))
-            at.append(np.arange(len(k)))
-        keys, owner, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, owner, at))
-        place = np.lexsort((at, owner, keys))
-        starts = np.flatnonzero(np.r_[True, np.diff(keys[place]) != 0]) if len(keys) else np.zeros(0, int)
-        ends = np.r_[starts[1:], len(keys)]
-        shared = np.zeros(len(keys), np.int64)  # passages that hold the n-gram, in the order of the passages
-        shared[place] = np.repeat([len(np.unique(owner[place[a:b]])) for a, b in zip(starts, ends)], ends - starts) if len(keys) else 0
-        keep = shared <= rare
-        self.need = np.full(len(self.passages), SEEDS)  # seeds of each passage that a stretch must hold
-        first = np.searchsorted(owner, np.arange(len(self.passages) + 1))
-        for n, (a, b) in enumerate(zip(first, first[1:])):
-            wide = math.ceil(share * (b - a))
-            if not wide:
-                continue
-            own, often = keep[a:b], shared[a:b]
-            for k in range(b - a - wide + 1):
-                if (has := int(own[k : k + wide].sum())) < min(wide, POOR):
-                    rest = k + np.flatnonzero(~own[k : k + wide])
-                    own[rest[np.argsort(often[rest], kind="stable")[: WINDOW_SEEDS - has]]] = True
-            total = np.r_[0, np.cumsum(own)]
-            self.need[n] = max(SEEDS, math.ceil(SEED_SHARE * int((total[wide:] - total[:-wide]).min())))
-        place = place[keep[place]]
-        keys, self.owner, self.at = keys[place], owner[place], at[place]
-        self.start = np.flatnonzero(np.r_[True, np.diff(keys) != 0]) if len(keys) else np.zeros(0, int)
-        self.end = np.r_[self.start[1:], len(keys)]
-        self.key = keys[self.start]
-
-    def keys(self, ids: np.ndarray) -> np.ndarray:
-        """One number per n-gram; -1 where a word is in no test item."""
-        n = len(ids) - self.gram + 1
-        if n <= 0:
-            return np.zeros(0, np.int64)
-        base, out, bad = np.int64(len(self.vocabulary) + 1), np.zeros(n, np.int64), np.zeros(n, bool)
-        for k in range(self.gram):
-            part = ids[k : k + n]
-            out = out * base + part
-            bad |= part < 0
-        out[bad] = -1
-        return out
-
-    def hits(self, ids: np.ndarray):
-        """(item, place in passage, place in text) of the seeds in a text."""
-        keys = self.keys(ids)
-        if not len(keys) or not len(self.key):
-            return None
-        pos = np.searchsorted(self.key, keys)
-        pos[pos == len(self.key)] = 0
-        where = np.flatnonzero(self.key[pos] == keys)
-        if not len(where):
-            return None
-        n = self.end[pos[where]] - self.start[pos[where]]
-        rows = np.repeat(self.start[pos[where]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return self.owner[rows], self.at[rows], np.repeat(where, n)
+    if "<" in text or "[" in text or "](" in text or "&" in text:
+        text = html.unescape(html.unescape(_MARKUP.sub(" ", html.unescape(text))))
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+        text = "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Mn") or c == "\n")
+        return _WORD.findall(_APART.sub(" ", text.casefold()))
+    return _WORD.findall(text.lower())
+
+
+def numbers(found: list[str]) -> np.ndarray:
+    """A 64-bit number for each word."""
+    if len(_numbers) > _KNOWN_WORDS:
+        _numbers.clear()
+    known = _numbers.get
+    out = [known(w) for w in found]
+    for i, x in enumerate(out):
+        if x is None:
+            out[i] = _numbers[found[i]] = xxhash.xxh3_64_intdigest(found[i])
+    return np.array(out, np.uint64)
+
+
+def grams(w: np.ndarray) -> np.ndarray:
+    """One 64-bit number for each n-gram of word numbers."""
+    n = len(w) - GRAM + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        out = (out + w[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(31)
+    return out
 
 
-def align(passage: np.ndarray, text: np.ndarray) -> tuple[float, int]:
-    """Best local alignment: its score and how many words it matches."""
-    return _fill(passage, text)[:2]
-
-
-def _fill(passage: np.ndarray, text: np.ndarray, steps: list | None = None) -> tuple[float, int, tuple[int, int]]:
-    """``align`` and the cell in which it ends; ``steps`` gets the way into each cell."""
-    m = len(text)
-    h, e = np.zeros(m + 1), np.full(m + 1, -1e9)
-    hm, em = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
-    ramp = np.arange(m + 1) * -EXTEND
-    best, matched, end = 0.0, 0, (0, 0)
-    for row, w in enumerate(passage):
-        hit = text == w
+def _short(w: np.ndarray) -> np.ndarray:
+    """Word numbers as alignments compare them, in 32 bits."""
+    return (w >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+# --- seeds ---------------------------------------------------------------------------------
+
+
+def _passages(items: DataFrame) -> DataFrame:
+    """``item, p, w, g``: number of the passage, its words, its n-grams."""
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for i, t in zip(pdf["i"].tolist(), pdf["p"]):
+                w = numbers(words(t))
+                if len(w) >= SEEDS + GRAM - 1:
+                    p = xxhash.xxh3_64_intdigest(w.tobytes()) - 2**63
+                    out.append((i, p, _short(w), grams(w).view(np.int64)))
+            yield pd.DataFrame(out, columns=["item", "p", "w", "g"])
+
+    return items.mapInPandas(run, "item bigint, p bigint, w array<int>, g array<bigint>")
+
+
+def _pick(share: float):
+    """The seeds of one passage, and how many a stretch of a text must hold."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        often = pdf["often"].to_numpy()
+        keep = often <= RARE
+        wide = math.ceil(share * len(pdf))
+        for k in range(len(pdf) - wide + 1):
+            if (has := int(keep[k : k + wide].sum())) < min(wide, POOR):
+                rest = k + np.flatnonzero(~keep[k : k + wide])
+                keep[rest[np.argsort(often[rest], kind="stable")[: WINDOW_SEEDS - has]]] = True
+        total = np.r_[0, np.cumsum(keep)]
+        pdf["need"] = max(SEEDS, math.ceil(SEED_SHARE * int((total[wide:] - total[:-wide]).min())))
+        pdf["n"] = len(pdf) + GRAM - 1
+        return pdf.loc[keep, ["p", "at", "g", "need", "n"]]
+
+    return run
+
+
+def seeds_of(passages: DataFrame, share: float) -> DataFrame:
+    """``p, at, g, need, n``: the seeds of the different passages (p, g), how many
+    of them a stretch must hold, and the passage's length in words. An n-gram's
+    rarity is the number of passages that hold it, of all passages."""
+    each = passages.select("p", F.posexplode("g").alias("at", "g"))
+    often = each.select("p", "g").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("often"))
+    return each.join(often, "g").groupBy("p").applyInPandas(_pick(share), "p bigint, at int, g bigint, need int, n int")
+
+
+def _bit_places(g: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    g = g.view(np.uint64)
+    mask = np.uint64(bits - 1)
+    return (g & mask).astype(np.int64), (((g >> np.uint64(33)) ^ (g >> np.uint64(13))) & mask).astype(np.int64)
+
+
+def _bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
+    """Two bits for each seed. Parts are put together by tasks; the driver gets
+    ``bits`` / 8 bytes, however many seeds there are."""
+    part = min(bits, 2**20)
+
+    def mark(frames):
+        held: dict[int, np.ndarray] = {}
+        for pdf in frames:
+            for at in _bit_places(pdf["g"].to_numpy(), bits):
+                for block in np.unique(at // part).tolist():
+                    own = at[at // part == block] % part
+                    held.setdefault(block, np.zeros(part, bool))[own] = True
+                    if len(held) >= 64:
+                        yield from packed(held)
+        yield from packed(held)
+
+    def packed(held):
+        while held:
+            block, own = held.popitem()
+            yield pd.DataFrame({"block": [block], "bits": [np.packbits(own, bitorder="little").tobytes()]})
+
+    def either(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]])
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "bits": [got.tobytes()]})
+
+    blocks = seeds.select("g").mapInPandas(mark, "block int, bits binary").groupBy("block").applyInPandas(either, "block int, bits binary")
+    out = np.zeros(bits // 8, np.uint8)
+    for block, got in blocks.collect():  # at most MOST_BITS
+        out[block * part // 8 : (block + 1) * part // 8] = np.frombuffer(got, np.uint8)
+    return out
+
+
+def _sift(table, bits: int, need: int, reach: int):
+    """Texts of which some stretch may hold ``need`` seeds, with their words and
+    the n-grams that may be seeds."""
+
+    def run(frames):
+        from pyspark import TaskContext
+
+        bitmap = table.value
+        task, nth = TaskContext.get().partitionId() << 33, 0
+        for pdf in frames:
+            out = []
+            for doc, text in zip(pdf["doc"].tolist(), pdf["t"]):
+                w = numbers(words(text))
+                g = grams(w)
+                if len(g) < need:
+                    continue
+                a, b = _bit_places(g, bits)
+                hit = np.flatnonzero((bitmap[a >> 3] >> (a & 7)) & (bitmap[b >> 3] >> (b & 7)) & 1)
+                if len(hit) >= need and (hit[need - 1 :] - hit[: len(hit) - need + 1]).min() <= reach:
+                    out.append((task + nth, doc, _short(w), hit.astype(np.int32), g[hit].view(np.int64)))
+                    nth += 1
+            yield pd.DataFrame(out, columns=["uid", "doc", "w", "place", "g"])
+
+    return run
+
+
+# --- alignment -----------------------------------------------------------------------------
+
+
+def _fill(jobs: list[tuple[np.ndarray, np.ndarray]]):
+    """Best local alignments of (passage, text) pairs: their scores, the cells in
+    which they end, and the marks of all cells by passage word, pair and text word.
+
+    A mark says how the cell is reached (STOP, DIAGONAL, UP, LEFT); BARE_UP: how
+    without a gap to the left; GREW: a gap upwards through it opens in it; OPENED:
+    a gap to the left through it opens just before it, as late as possible.
+    """
+    rows, cols, k = max(len(p) for p, _ in jobs), max(len(t) for _, t in jobs), len(jobs)
+    passages, texts = np.full((rows, k), NO_WORD, np.int64), np.full((k, cols), NO_TEXT, np.int64)
+    for n, (p, t) in enumerate(jobs):
+        passages[: len(p), n] = p
+        texts[n, : len(t)] = t
+    h, e = np.zeros((k, cols + 1), np.int32), np.full((k, cols + 1), -(10**8), np.int32)
+    ramp = np.arange(cols + 1, dtype=np.int32) * -EXTEND
+    best, end = np.zeros(k, np.int32), np.zeros((k, 2), np.int64)
+    marks = np.empty((rows, k, cols + 1), np.int8)
+    new, gap = np.zeros((k, cols + 1), np.int32), np.full((k, cols + 1), -(10**8), np.int32)
+    opened = np.zeros((k, cols + 1), bool)
+    at = np.arange(k)
+    for row in range(rows):
         # a gap in the text's favour: words of the passage left out
-        grow = h + OPEN > e + EXTEND
-        em = np.where(grow, hm, em)
-        e = np.where(grow, h + OPEN, e + EXTEND)
-        diag = h[:-1] + np.where(hit, MATCH, MISS)
-        new, nm = np.zeros(m + 1), np.zeros(m + 1, np.int64)
-        new[1:], nm[1:] = diag, hm[:-1] + hit
+        fresh, on = h + OPEN, e + EXTEND
+        grew = fresh > on
+        e = np.maximum(fresh, on)
+        new[:, 0] = 0
+        new[:, 1:] = h[:, :-1] + np.where(texts == passages[row][:, None], np.int32(MATCH), np.int32(MISS))
         up = e > new
-        new, nm = np.where(up, e, new), np.where(up, em, nm)
+        np.maximum(new, e, out=new)
         # words of the text passed over: best start of a gap to the left
         lead = new + ramp
-        top = np.maximum.accumulate(lead)
-        source = np.maximum.accumulate(np.where(lead >= top, np.arange(m + 1), 0))
-        gap = np.full(m + 1, -1e9)
-        gap[1:] = top[:-1] - ramp[1:] + OPEN - EXTEND
+        top = np.maximum.accumulate(lead, axis=1)
+        gap[:, 1:] = top[:, :-1] - ramp[1:] + np.int32(OPEN - EXTEND)
+        opened[:, 1:] = lead[:, :-1] == top[:, :-1]
         left = gap > new
-        came = np.zeros(m + 1, np.int64)
-        came[1:] = source[:-1]
-        if left.any():
-            nm = np.where(left, nm[came], nm)
-            new = np.where(left, gap, new)
-        if steps is not None:
-            way = np.where(left, LEFT, np.where(up, UP, DIAGONAL)).astype(np.int8)
-            steps.append((np.where(new > 0, way, STOP).astype(np.int8), np.where(up, UP, DIAGONAL).astype(np.int8), grow, came.astype(np.int32)))
-        nm = np.where(new > 0, nm, 0)
-        h, hm = np.maximum(new, 0), nm
-        k = int(h.argmax())
-        if h[k] > best:
-            best, matched, end = float(h[k]), int(hm[k]), (row + 1, k)
-    return best, matched, end
-
-
-def pairs(passage: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in passage and text of the words that the best alignment matches.
-    Only the text before its end is traced, as far as passage and gap allow."""
-    i, j = _fill(passage, text)[2]
-    text = text[max(0, j - _reach(len(passage))) : j]
-    steps: list = []
-    i, j = _fill(passage, text, steps)[2]
+        h = np.maximum(new, gap)
+        way = np.where(left, LEFT, DIAGONAL + up).astype(np.int8)
+        way[h <= 0] = STOP
+        marks[row] = way + grew * np.int8(GREW) + opened * np.int8(OPENED) + up * np.int8(BARE_UP)
+        np.maximum(h, 0, out=h)
+        col = h.argmax(1)
+        got = h[at, col]
+        better = got > best
+        best[better] = got[better]
+        end[better, 0], end[better, 1] = row + 1, col[better]
+    return best, end, marks
+
+
+def _trace(passage: np.ndarray, text: np.ndarray, marks: list, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in passage and text of the words matched by the alignment that ends
+    in (i, j); ``marks``: one row of bytes for each word of the passage."""
     out = []
     inside = False  # a gap whose start in the same row is no further gap
     while i and j:
-        way, bare, _, came = steps[i - 1]
-        step = bare[j] if inside else way[j]
+        m = marks[i - 1][j]
+        way = m & 3
+        if inside and way:
+            way = UP if m & BARE_UP else DIAGONAL
         inside = False
-        if step == STOP:
+        if way == STOP:
             break
-        if step == LEFT:
-            j, inside = int(came[j]), True
-        elif step == UP:
-            while not steps[i - 1][2][j]:
+        if way == LEFT:
+            while not marks[i - 1][j] & OPENED:
+                j -= 1
+            j, inside = j - 1, True
+        elif way == UP:
+            while not marks[i - 1][j] & GREW:
                 i -= 1
             i -= 1
         else:
@@ -194,6 +285,13 @@ def pairs(passage: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at[:, 0], at[:, 1]
 
 
+def align(passage: np.ndarray, text: np.ndarray) -> tuple[float, int]:
+    """Best local alignment: its score and how many words it matches."""
+    best, end, marks = _fill([(passage, text)])
+    at, _ = _trace(passage, text, [r.tobytes() for r in marks[:, 0]], *end[0].tolist())
+    return float(best[0]) / SCALE, len(at)
+
+
 def edits_allowed(n):
     """Of n words, one in eight, and as many more as chance may bring."""
     return n * EDITS + 1.5 * np.sqrt(n * EDITS * (1 - EDITS))
@@ -210,13 +308,17 @@ def covered(at: np.ndarray, place: np.ndarray) -> int:
     skip, over = np.diff(at) - 1, np.diff(place) - 1
     cost = np.maximum(skip, over)
     free = np.where((over - skip >= FOREIGN[0]) & (over - skip <= FOREIGN[1]), cost - skip, 0)
-    best = 0
-    for a in range(n):
+    total = np.r_[0, np.cumsum(cost)]
+    best, block = 0, max(1, 1_000_000 // n)
+    for a in range(0, n, block):
         if at[-1] - at[a] + 1 + EDGE <= best:
             break
-        span = at[a:] - at[a] + 1
-        edits = np.r_[0, np.cumsum(cost[a:]) - np.maximum.accumulate(free[a:])] if a < n - 1 else np.zeros(1)
-        spare = np.floor(edits_allowed(span + EDGE) - edits)
+        first = np.arange(a, min(n, a + block))[:, None]
+        span = at[None, a:] - at[first] + 1
+        saved = np.maximum.accumulate(np.where(np.arange(a, n - 1)[None] >= first, free[None, a:], 0), axis=1)
+        edits = total[None, a:] - total[first] - np.concatenate([np.zeros((len(first), 1), np.int64), saved], axis=1)
+        inner = np.arange(a, n)[None] >= first
+        spare = np.where(inner, np.floor(edits_allowed(np.maximum(span, 0) + EDGE) - edits), -1)
         best = max(best, int(np.where(spare >= 0, span + np.minimum(spare, EDGE), 0).max()))
     return best
 
@@ -229,15 +331,20 @@ def stretches(at, place, length: int, need: int):
     """Windows of the text, as long as passage and gap allow, that hold ``need``
     distinct seeds: (first, last) word places."""
     order = np.argsort(place, kind="stable")
-    at, place = at[order], place[order]
+    at, place = at[order].tolist(), place[order].tolist()
     reach = _reach(length)
     out: list[list[int]] = []
+    held: Counter = Counter()
     a = 0
     for b in range(len(place)):
+        held[at[b]] += 1
         while place[b] - place[a] > reach:
+            held[at[a]] -= 1
+            if not held[at[a]]:
+                del held[at[a]]
             a += 1
-        if b - a + 1 >= need and len(set(at[a : b + 1].tolist())) >= need:
-            lo, hi = int(place[a]) - length, int(place[b]) + length + GRAM
+        if len(held) >= need:
+            lo, hi = place[a] - length, place[b] + length + GRAM
             if out and lo <= out[-1][1]:
                 out[-1][1] = hi
             else:
@@ -245,13 +352,55 @@ def stretches(at, place, length: int, need: int):
     return out
 
 
-def leaked(docs: DataFrame, items: DataFrame, id: str, text: str, item: str, passage: str, share: float, blocks_of: int = MAX_WORDS) -> DataFrame:
+def least_score(n: int, share: float) -> float:
+    """The score under which no stretch of that share can be: all its edits gaps, and the foreign sentence."""
+    held = math.ceil(share * n)
+    edits = edits_allowed(held)
+    return max(0.0, MATCH * (held - edits) + OPEN * (edits + 1) + EXTEND * FOREIGN[1]) * DENSITY
+
+
+def _judge(share: float):
+    """Of each candidate (doc, p, need, at, place, pw, w) the best alignment."""
+
+    def run(frames):
+        for pdf in frames:
+            jobs = []
+            for row, (need, at, place, p, w) in enumerate(zip(pdf["need"].tolist(), pdf["at"], pdf["place"], pdf["pw"], pdf["w"])):
+                for lo, hi in stretches(at, place, len(p), need):
+                    jobs.append((row, p, w[max(0, lo) : hi]))
+            jobs.sort(key=lambda j: len(j[2]))
+            best: dict[int, tuple[int, float]] = {}
+            start = 0
+            while start < len(jobs):
+                # jobs of like width together; one text of any length still fits
+                stop = start + 1
+                while stop < len(jobs) and (stop - start + 1) * len(jobs[stop][2]) <= CELLS:
+                    stop += 1
+                own = jobs[start:stop]
+                start = stop
+                score, end, marks = _fill([j[1:] for j in own])
+                for n, (row, p, t) in enumerate(own):
+                    if score[n] >= least_score(len(p), share):
+                        i, j = end[n].tolist()
+                        lines = [r.tobytes() for r in marks[:i, n]]
+                        best[row] = max(best.get(row, (0, 0.0)), (covered(*_trace(p, t, lines, i, j)), float(score[n]) / SCALE))
+                del marks
+            held = [(pdf["doc"].iloc[r], pdf["p"].iloc[r], s, c / len(pdf["pw"].iloc[r])) for r, (c, s) in sorted(best.items())]
+            yield pd.DataFrame([h for h in held if h[3] >= share], columns=["doc", "p", "score", "held"])
+
+    return run
+
+
+def leaked(docs: DataFrame, items: DataFrame, id: str, text: str, item: str, passage: str, share: float, most_bits: int = MOST_BITS) -> DataFrame:
     """``doc, item, score, held``: documents and the test items they repeat,
     with the best alignment's score and the share of the passage's words that
     it covers, which must reach ``share``: matched words and between them about
     one in eight changed, one foreign sentence not counted. The score must only
     reach that of a likeness which is no chance. One row per document row and item.
 
+    ``most_bits``, a power of two, bounds the bitmap that is sent to all tasks; the
+    result does not depend on it.
+
     Null and empty texts and passages match nothing; passages of fewer than
     SEEDS + GRAM - 1 words are too short to be told apart and match nothing.
     Copies of a text or a passage count each. Rows without id are left out.
@@ -260,54 +409,26 @@ def leaked(docs: DataFrame, items: DataFrame, id: str, text: str, item: str, pas
     spark = docs.sparkSession
     schema = "doc bigint, item bigint, score double, held double"
     rows = docs.select(F.col(id).cast("bigint").alias("doc"), F.col(text).alias("t")).filter("doc is not null and t is not null")
-    held = items.select(F.col(item).cast("bigint").alias("i"), F.col(passage).alias("p")).filter("i is not null and p is not null")
-    sized = held.select("i", "p", F.char_length("p").alias("n"))
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-int(total) // (5 * blocks_of)))  # a word has about five characters
-    out = None
-    for b in range(blocks):
-        part = [(r[0], r[1]) for r in sized.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).select("i", "p").collect()]
-        table = spark.sparkContext.broadcast(Seeds(part, share=share))
-        got = rows.mapInPandas(_search(table, share), schema)
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
-def _search(table, share: float):
-    # the score under which no stretch of that share can be: all its edits gaps, and the foreign sentence
-    def least(n):
-        words = math.ceil(share * n)
-        edits = edits_allowed(words)
-        return max(0.0, MATCH * (words - edits) + OPEN * (edits + 1) + EXTEND * FOREIGN[1]) * DENSITY
-
-
-    def run(frames):
-        seeds: Seeds = table.value
-        known = seeds.vocabulary.get
-        for pdf in frames:
-            found = []
-            for doc, text in zip(pdf["doc"].tolist(), pdf["t"].tolist()):
-                ids = np.array([known(w, -1) for w in words(text)], np.int64)
-                hits = seeds.hits(ids)
-                if hits is None:
-                    continue
-                order = np.argsort(hits[0], kind="stable")
-                owner, at, place = (x[order] for x in hits)
-                cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                for a, b in zip(cuts, np.r_[cuts[1:], len(owner)]):
-                    n = int(owner[a])
-                    need = int(seeds.need[n])
-                    if b - a < need:
-                        continue
-                    p = seeds.passages[n]
-                    best = (0, 0.0)
-                    for lo, hi in stretches(at[a:b], place[a:b], len(p), need):
-                        piece = ids[max(0, lo) : hi]
-                        score = align(p, piece)[0]
-                        if score >= least(len(p)):
-                            best = max(best, (covered(*pairs(p, piece)), score))
-                    if best[0] >= share * len(p):
-                        found += [(doc, int(i), best[1], best[0] / len(p)) for i in seeds.ids[n]]
-            yield pd.DataFrame(found, columns=["doc", "item", "score", "held"])
-
-    return run
+    tests = items.select(F.col(item).cast("bigint").alias("i"), F.col(passage).alias("p")).filter("i is not null and p is not null")
+    known = materialize(_passages(tests))
+    passages = known.groupBy("p").agg(F.first("w").alias("w"), F.first("g").alias("g"))
+    seeds = materialize(seeds_of(passages.select("p", "g"), share))
+    n, need, longest = seeds.agg(F.count(F.lit(1)), F.min("need"), F.max("n")).first()
+    if not n:
+        return spark.createDataFrame([], schema)
+    bits = min(most_bits, 2 ** max(10, math.ceil(math.log2(BITS_A_SEED * n))))
+    table = spark.sparkContext.broadcast(_bitmap(seeds, bits))
+    sifted = materialize(
+        rows.mapInPandas(_sift(table, bits, need, _reach(longest)), "uid bigint, doc bigint, w array<int>, place array<int>, g array<bigint>")
+    )
+    # shuffled or broadcast as the measured sizes ask for
+    hits = sifted.select("uid", F.explode(F.arrays_zip("place", "g")).alias("h")).select("uid", "h.place", "h.g")
+    met = (
+        hits.join(seeds.select("g", "p", "at", "need"), "g").groupBy("uid", "p")
+        .agg(F.first("need").alias("need"), F.collect_list(F.struct("at", "place")).alias("h"))  # bounded by one text
+        .filter(F.size(F.array_distinct("h.at")) >= F.col("need"))
+        .select("uid", "p", "need", "h.at", "h.place")
+    )
+    full = met.join(passages.select("p", F.col("w").alias("pw")), "p").join(sifted.select("uid", "doc", "w"), "uid")
+    found = full.select("doc", "p", "need", "at", "place", "pw", "w").mapInPandas(_judge(share), "doc bigint, p bigint, score double, held double")
+    return found.join(known.select("p", "item"), "p").select("doc", "item", "score", "held")
