@@ -22,13 +22,14 @@ _END, _ESC = "\x01", "\x02"
 
 @dataclass(frozen=True)
 class Field:
-    """A typed field: ``pattern`` that its text matches, bounds of its value."""
+    """A typed field: ``pattern`` that its text matches, of digits with or without
+    a point; bounds of its value, whole numbers of at most 18 digits."""
 
     name: str
     type: str
     pattern: str
-    least: float
-    greatest: float
+    least: int
+    greatest: int
 
 
 PEOPLE = (
@@ -74,14 +75,20 @@ def _absent(v: Column) -> Column:
 
 
 def _readable(v: Column, f: Field) -> Column:
-    digits = F.regexp_replace(v, r"^0+(?=[0-9])", "")
-    number = F.when(F.char_length(digits) <= 18, v).try_cast("decimal(38,18)")
-    return v.rlike(f.pattern) & F.coalesce(number.between(f.least, f.greatest), F.lit(False))
+    """The text is a number within the bounds, however many digits it has: the
+    whole part is compared as a number, of the fraction it counts only whether
+    it is nil. A whole part of more than 18 digits is above any bound."""
+    whole = F.regexp_extract(v, r"^0*([0-9]*)", 1)
+    number = F.when(F.char_length(whole) <= 18, F.concat(F.lit("0"), whole)).try_cast("bigint")
+    more = v.rlike(r"\.[0-9]*[1-9]")
+    within = (number >= f.least) & ((number < f.greatest) | ((number == f.greatest) & ~more))
+    return v.rlike(f.pattern) & F.coalesce(within, F.lit(False))
 
 
 @dataclass(frozen=True)
 class Loaded:
     rows: DataFrame
+    rejected: DataFrame
     rejects: DataFrame
 
 
@@ -120,6 +127,7 @@ def load_strict(
     """Typed rows of the conforming records, and the other records with a reason.
 
     ``rows``: offset, the text fields (null where absent) and the typed fields.
+    ``rejected``: the offsets of the other records, found without moving a line.
     ``rejects``: offset, feed, line and ``reason``, the first that holds of
     ``missing record``, ``unknown feed``, ``backslash before quote``,
     ``unclosed quote``, ``broken quoting``, ``too few fields``,
@@ -149,8 +157,10 @@ def load_strict(
         *[F.when(~_absent(F.col(t)), F.col(t)).alias(t) for t in texts],
         *[F.when(~_absent(F.col(f.name)), F.col(f.name)).try_cast(f.type).alias(f.name) for f in fields],
     )
-    left = raw.join(conforming.select("offset"), "offset", "left_anti")
-    return Loaded(rows, diagnose(left, feeds, fields))
+    rejected = raw.select("offset").join(conforming.select("offset"), "offset", "left_anti")
+    lost = rejected.select(F.col("offset").alias("_lost"))
+    left = raw.join(lost, F.col("offset").eqNullSafe(F.col("_lost")), "left_semi")
+    return Loaded(rows, rejected, diagnose(left, feeds, fields))
 
 
 def diagnose(left: DataFrame, feeds: DataFrame, fields: tuple[Field, ...] = PEOPLE) -> DataFrame:

@@ -26,7 +26,7 @@ def _loaded(spark, d):
 
 
 def p1_found(spark, d):
-    return _loaded(spark, d).rejects.select(F.col("offset").alias("raw_id"))
+    return _loaded(spark, d).rejected.select(F.col("offset").alias("raw_id"))
 
 
 def p1_people(spark, d):
@@ -145,6 +145,34 @@ select raw_id from people_raw where raw_id not in (select raw_id from v where va
 SQL["p1_people"] = _people_sql() + """
 select raw_id, f_name as person_name, cast(f_age as integer) as age, cast(f_income as bigint) as income, f_region as region,
 cast(f_score as double) as score from v where valid"""
+def _reasons_sql() -> str:
+    """Each record cut at the delimiters that lie outside of quotes, and the first
+    of the reasons that holds."""
+    quoted = lambda x: f"""({x} like '"%' and {x} like '%"' and length({x}) >= 2 and not contains(replace(substring({x}, 2, length({x}) - 2), '""', ''), '"'))"""
+    bare = f"""list_transform(fs, lambda x: regexp_replace(case when {quoted('x')} then replace(substring(x, 2, length(x) - 2), '""', '"') else x end,
+      '^[\\s\u00a0\u3000]+|[\\s\u00a0\u3000]+$', '', 'g'))"""
+    whens = ""
+    for name, pattern, top in (("age", "[0-9]+", 120), ("income", "[0-9]+", 100_000_000), ("score", "[0-9]+(\\.[0-9]*)?|\\.[0-9]+", 1)):
+        v = f"vs[list_position(names, '{name}')]"
+        some = f"{v} != '' and lower({v}) not in ('na', 'n/a', 'null', 'none', 'nan')"
+        whens += f"when {some} and not regexp_full_match({v}, '{pattern}') then 'unreadable {name}' "
+        whens += f"when {some} and cast({v} as double) > {top} then '{name} out of range' "
+    return f"""
+with f as (select feed as known, delim, n_fields, string_split(header, delim) as names from people_feeds),
+r as (select feed, known, n_fields, names, raw_line as line,
+        string_split(array_to_string(list_transform(string_split(raw_line, '"'), lambda p, i: case when i % 2 = 1 then replace(p, delim, chr(1)) else p end), '"'), chr(1)) as fs
+      from people_raw left join f on feed = known),
+v as (select *, {bare} as vs, list_transform(fs, lambda x: {quoted('x')}) as qs, list_transform(fs, lambda x: contains(x, '"')) as ms,
+        list_transform(fs, lambda x: contains(x, chr(10)) or contains(x, chr(13))) as bs from r),
+w as (select feed, case when line is null then 'missing record' when known is null then 'unknown feed' when contains(line, '\\"') then 'backslash before quote'
+        when (length(line) - length(replace(line, '"', ''))) % 2 = 1 then 'unclosed quote'
+        when list_bool_or(list_transform(list_zip(ms, qs), lambda z: z[1] and not z[2])) then 'broken quoting'
+        when len(fs) < n_fields then 'too few fields' when len(fs) > n_fields then 'too many fields'
+        when list_bool_or(list_transform(list_zip(bs, qs), lambda z: z[1] and not z[2])) then 'line break outside quotes' {whens} end as reason from v)
+select feed, reason, count(*) as n from w where reason is not null group by 1, 2"""
+
+
+SQL["p1_reasons"] = _reasons_sql()
 SQL["p5_features"] = """
 select * from (pivot (
   select service, coalesce(case upper(log_level) when 'ERR' then 'ERROR' when 'WARNING' then 'WARN' else upper(log_level) end, 'none') || '_'

@@ -108,6 +108,18 @@ def test_strict_load_edges(spark):
     assert empty.rows.count() == 0 and empty.rejects.count() == 0
 
 
+def test_numbers_of_any_length(spark):
+    good = ["0.30000000000000004", "0." + "3" * 40, "0" * 40 + "1", "1." + "0" * 40, ".5", "1.", "0" * 30]
+    bad = ["1.0000000000000000000000000001", "1" * 40, "2", "1.5" + "0" * 30, "0x1", "."]
+    rows = [(i, "a", f"n,{'0' * 25}7,1{'0' * 8},r,{v}", "", 0) for i, v in enumerate(good + bad)] + [(90, "a", "n,121,1,r,1", "", 0), (91, "a", f"n,1,{'9' * 40},r,1", "", 0)]
+    got = load_strict(raw_table(spark, rows), feeds(spark))
+    assert {r.offset for r in got.rejected.collect()} == {r.offset for r in got.rejects.collect()} == {*range(len(good), len(good + bad)), 90, 91}
+    scores = {r.offset: r.score for r in got.rows.collect()}
+    assert scores == {i: float(v) for i, v in enumerate(good)}
+    reasons = {r.offset: r.reason for r in got.rejects.collect()}
+    assert reasons[len(good)] == reasons[len(good) + 1] == "score out of range" and reasons[91] == "income out of range" and reasons[len(good) + 4] == "unreadable score"
+
+
 # --- spikes -------------------------------------------------------------------------------
 
 
