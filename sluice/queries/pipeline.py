@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.operators.event_features import event_features
+from sluice.operators.event_features import event_counts, event_features
 from sluice.operators.rejects import load_strict
 from sluice.operators.spikes import flag_implausible
 from sluice.operators.trailing import trailing_totals
@@ -62,7 +62,22 @@ def p5_features(spark, d):
     return event_features(logs, "service", [level_name(), F.col("status")], "log_ts", "latency_ms").withColumnRenamed("entity", "service")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_people, p1_reasons, p2_found, p2_flags, p4_trailing, p5_features)}
+def p5_features_long(spark, d):
+    logs = table(spark, d, "logs")
+    return event_counts(logs, "service", [level_name(), F.col("status")], "log_ts", "latency_ms").withColumnRenamed("entity", "service")
+
+
+#: A list of types for a table whose columns are the same for any logs.
+LISTED = [f"{level}_{status}" for level in ("DEBUG", "INFO", "WARN", "ERROR", "FATAL", "none") for status in (200, 201, 204, 304, 400, 404, 429, 500, 503, "none")]
+
+
+def p5_features_listed(spark, d):
+    logs = table(spark, d, "logs")
+    got = event_features(logs, "service", [level_name(), F.col("status")], "log_ts", "latency_ms", kinds=LISTED)
+    return got.withColumnRenamed("entity", "service")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_people, p1_reasons, p2_found, p2_flags, p4_trailing, p5_features, p5_features_long, p5_features_listed)}
 
 _P2 = """
 with r as (select log_id, service, log_ts, latency_ms as v from logs where service is not null and latency_ms is not null),
@@ -173,11 +188,15 @@ select feed, reason, count(*) as n from w where reason is not null group by 1, 2
 
 
 SQL["p1_reasons"] = _reasons_sql()
-SQL["p5_features"] = """
-select * from (pivot (
-  select service, coalesce(case upper(log_level) when 'ERR' then 'ERROR' when 'WARNING' then 'WARN' else upper(log_level) end, 'none') || '_'
-           || coalesce(cast(status as varchar), 'none') as kind,
-         count(*) as n, cast(coalesce(sum(latency_ms), 0) as bigint) as total,
-         ((select epoch_us(max(log_ts)) from logs where service is not null) - epoch_us(max(log_ts))) / 1000000.0 as age
-  from logs where service is not null group by 1, 2)
-on kind using coalesce(sum(n), 0)::bigint as n, coalesce(sum(total), 0)::bigint as total, max(age) as age_s group by service)"""
+_KINDS = """(select service, coalesce(case upper(trim(log_level)) when 'ERR' then 'ERROR' when 'WARNING' then 'WARN' else upper(trim(log_level)) end, 'none')
+  || '_' || coalesce(cast(status as varchar), 'none') as kind, log_ts, latency_ms,
+  (select epoch_us(max(log_ts)) from logs where service is not null) as until from logs where service is not null)"""
+SQL["p5_features_long"] = f"""
+select service, kind, count(*) as n, cast(coalesce(sum(latency_ms), 0) as bigint) as total, (max(until) - epoch_us(max(log_ts))) / 1000000.0 as age_s
+from {_KINDS} k group by 1, 2"""
+_PICKS = "".join(
+    f""", count(*) filter ({when}) as "{k}_n", cast(coalesce(sum(latency_ms) filter ({when}), 0) as bigint) as "{k}_total",
+    (max(until) - epoch_us(max(log_ts) filter ({when}))) / 1000000.0 as "{k}_age_s\""""
+    for k, when in [*((k, f"kind = '{k}'") for k in LISTED), ("other", "kind not in (" + ", ".join(f"'{k}'" for k in LISTED) + ")")]
+)
+SQL["p5_features_listed"] = f"select service{_PICKS} from {_KINDS} k group by 1"
