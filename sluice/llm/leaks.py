@@ -22,6 +22,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,7 @@ GREW, OPENED, BARE_UP = 4, 8, 16  # further marks of a cell: see _fill
 NO_WORD, NO_TEXT = 2**40, 2**41  # fill up passages, texts to one length
 
 _MARKUP = re.compile(r"<[^<>]{1,200}>|&lt;/?[a-z][^&]{0,100}&gt;|\[/?[a-zA-Z]+(?:=[^\]]{0,100})?\]|\]\([^)\s]{0,200}\)", re.I)
+_UNSEEN = regex.compile(r"[\p{Cf}\p{Mn}]+")
 _WORD = re.compile(r"[^\W_]+")
 _APART = re.compile(r"(?<=[぀-ヿ㐀-鿿])(?=[぀-ヿ㐀-鿿])")
 _KNOWN_WORDS = 1_000_000  # words whose number a worker remembers
@@ -58,9 +60,8 @@ def words(text: str) -> list[str]:
     if "<" in text or "[" in text or "](" in text or "&" in text:
         text = html.unescape(html.unescape(_MARKUP.sub(" ", html.unescape(text))))
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-        text = "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Mn") or c == "\n")
-        return _WORD.findall(_APART.sub(" ", text.casefold()))
+        text = _UNSEEN.sub("", unicodedata.normalize("NFKC", text)).casefold()
+        return _WORD.findall(_APART.sub(" ", text) if _APART.search(text) else text)
     return _WORD.findall(text.lower())
 
 
@@ -328,23 +329,24 @@ def _reach(length: int) -> int:
 
 
 def stretches(at, place, length: int, need: int):
-    """Windows of the text, as long as passage and gap allow, that hold ``need``
-    distinct seeds: (first, last) word places."""
-    order = np.argsort(place, kind="stable")
-    at, place = at[order].tolist(), place[order].tolist()
-    reach = _reach(length)
+    """Windows of the text that hold ``need`` distinct seeds in about the passage's
+    order, as near to one diagonal as edits and gap allow: (first, last) word places."""
+    drift = FOREIGN[1] + math.ceil(edits_allowed(length))
+    diagonal = np.asarray(place, np.int64) - np.asarray(at, np.int64)
+    order = np.argsort(diagonal, kind="stable")
+    at, diagonal = np.asarray(at)[order].tolist(), diagonal[order].tolist()
     out: list[list[int]] = []
     held: Counter = Counter()
     a = 0
-    for b in range(len(place)):
+    for b in range(len(at)):
         held[at[b]] += 1
-        while place[b] - place[a] > reach:
+        while diagonal[b] - diagonal[a] > drift:
             held[at[a]] -= 1
             if not held[at[a]]:
                 del held[at[a]]
             a += 1
         if len(held) >= need:
-            lo, hi = place[a] - length, place[b] + length + GRAM
+            lo, hi = diagonal[a] - drift, diagonal[b] + length + GRAM + drift
             if out and lo <= out[-1][1]:
                 out[-1][1] = hi
             else:
