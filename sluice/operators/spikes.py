@@ -1,26 +1,31 @@
 """Implausible readings per source: impossible values, spikes and stuck sensors.
 
-A state-space model runs over the logarithm of each source's readings in time
-order. The hidden level reverts to the source's own robust centre,
+Two state-space models run over each source's readings in time order. The first
+is over their logarithm; its hidden level reverts to the source's robust centre,
 
     level[t] = centre + PHI * (level[t-1] - centre) + noise,   reading = level + noise,
 
 where both noises share the source's robust variance. A Kalman filter forecasts
-every reading; a reading whose standardised innovation exceeds ``z`` is a spike
-candidate and its update is withheld. Equal readings in a row are found as a
-vanishing variance of successive differences over ``stuck`` readings.
+every reading; a reading whose standardised innovation exceeds ``z`` is
+``surprising`` and its update is withheld. The level follows daily courses and
+slow drifts, so a reading may surprise that lies within the source's usual range.
+The second model forecasts that a reading repeats the last one (a random walk read
+without noise, gain one); a sensor is stuck where the variance of its innovations
+vanishes over ``stuck`` readings.
 
-Why no reading that is far off can hide behind a drifting level: with gain at
-most 1/2 and accepted innovations of at most z standard deviations, the level
-stays within z * PHI / (2 * (1 - PHI)) deviations of the centre, so anything
-further than z * (1 + PHI / (2 * (1 - PHI))) = 6.5 robust deviations from the
-centre is always a candidate. Ten median distances are 6.745 of them.
+A spike is a surprising reading that is also far from the source's median. Why
+none can hide behind a drifting level: with gain at most 1/2 and accepted
+innovations of at most z standard deviations, the level stays within
+z * PHI / (2 * (1 - PHI)) deviations of the centre, so with z = 3 anything further than
+z * (1 + PHI / (2 * (1 - PHI))) = 6.5 robust deviations from the centre surprises.
+Ten median distances are 6.745 of them.
 
 Sources are spread by range partitioning on (source, time, id): a source that
 holds a third of the rows is split into as many time-ordered pieces as its size
-asks for. A piece starts the filter from the source's centre; runs of equal
-readings that touch a piece's edge are put together afterwards from at most two
-edge records per partition.
+asks for. The filters are carried over the pieces' borders: a start is forgotten by
+a factor of PHI or less a reading, so each piece hands over its last WARM readings
+and its first WARM, and the border is filtered again over these alone. Results do
+not depend on the pieces.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -39,11 +45,11 @@ PHI = 0.7
 STATE_SHARE = 0.5  # of a source's variance lies in the level, the rest in the reading
 ROBUST = 1.4826  # standard deviations of a normal law per median distance
 ROWS_PER_PIECE = 250_000
+WARM = 64  # readings by which a filter has forgotten its start: 0.7 ** 64 < 2e-10, 0.5 ** 64 where none is withheld
 
-_SCHEMA = (
-    "source string, ts timestamp_ntz, id bigint, value bigint, centre double, spread double, "
-    "innovation double, candidate boolean, run bigint, edge string, piece int"
-)
+_ROW = "source string, ts timestamp_ntz, id bigint, value bigint, centre double, spread double, innovation double, variance double, still boolean"
+#: ``edge``: head or tail of a source's rows in a piece, or both; ``nth`` of the ``timed`` rows with a time
+_SCHEMA = _ROW + ", piece int, edge string, nth bigint, timed bigint"
 
 
 def weighted_median(hist: DataFrame, keys: list[str], value: str, weight: str, out: str, cell) -> DataFrame:
@@ -71,22 +77,21 @@ def weighted_median(hist: DataFrame, keys: list[str], value: str, weight: str, o
     return placed.groupBy(*keys).agg(((pick(low) + pick(high)) / 2).alias(out))
 
 
-def robust_levels(readings: DataFrame) -> DataFrame:
-    """Per source: ``centre``, the log of the median positive reading, and
-    ``spread``, the median distance of the logs from it."""
-    hist = (
-        readings.filter("value > 0").groupBy("source", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
+def robust_levels(hist: DataFrame) -> DataFrame:
+    """From counts (source, value, n): per source ``centre``, the log of the median
+    positive reading, and ``spread``, the median distance of the logs from it."""
+    hist = hist.filter("value > 0")
     med = weighted_median(hist, ["source"], "value", "n", "m", F.floor(F.log("value") * 32)).select(
         "source", F.log("m").alias("centre")
     )
+    med = materialize(med)  # a row per source
     far = hist.join(med, "source").withColumn("d", F.abs(F.log("value") - F.col("centre")))
     mad = weighted_median(far, ["source"], "d", "n", "spread", F.floor(F.col("d") * 128))
     return med.join(mad, "source")
 
 
 def _filter_piece(log: np.ndarray, usable: np.ndarray, centre: float, spread: float, z: float):
-    """Standardised innovations of one time-ordered piece of one source."""
+    """Standardised innovations of time-ordered readings of one source, from its centre on."""
     out = np.zeros(len(log))
     sigma2 = (ROBUST * spread) ** 2
     if not math.isfinite(sigma2):
@@ -117,6 +122,23 @@ def _filter_piece(log: np.ndarray, usable: np.ndarray, centre: float, spread: fl
     return out
 
 
+def _steadiness(value: np.ndarray, stuck: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of readings that follow each other: the variance of the last ``stuck`` - 1
+    innovations of the forecast that nothing changes (NaN before there are as
+    many), and which readings belong to a window in which it vanishes."""
+    n = len(value)
+    variance, still = np.full(n, np.nan), np.zeros(n, bool)
+    if n >= stuck:
+        innovation = (value[1:] - value[:-1]).astype(float)
+        variance[stuck - 1 :] = np.convolve(innovation * innovation, np.ones(stuck - 1), "valid") / (stuck - 1)
+        ends = np.flatnonzero(variance == 0)
+        change = np.zeros(n + 1, np.int64)
+        np.add.at(change, ends - stuck + 1, 1)
+        np.add.at(change, ends + 1, -1)
+        still = np.cumsum(change[:-1]) > 0
+    return variance, still
+
+
 def _scan(z: float, stuck: int, greatest: int):
     def run(batches):
         import pyspark
@@ -158,24 +180,21 @@ def _scan(z: float, stuck: int, greatest: int):
                 sd = ROBUST * spread
                 e = log[loose] - centre
                 inn[loose] = e / sd if sd > 0 else np.where(e != 0, np.inf, 0.0)
-            # runs of equal timed readings: the variance of their differences is nil
-            at = np.flatnonzero(timed)
-            length = np.zeros(n, np.int64)
+            at, usable = np.flatnonzero(timed), np.flatnonzero(positive & timed)
+            variance, still = np.full(n, np.nan), np.zeros(n, bool)
+            variance[at], still[at] = _steadiness(value[at], stuck)
+            # what the neighbouring pieces need of this one
             edge = np.full(n, None, object)
-            if len(at):
-                v = value[at]
-                starts = np.concatenate([[0], np.flatnonzero(v[1:] != v[:-1]) + 1])
-                ends = np.concatenate([starts[1:], [len(v)]])
-                length[at] = np.repeat(ends - starts, ends - starts)
-                for k, tag in ((0, "first"), (len(starts) - 1, "last")):
-                    if (tag == "first" and opens) or (tag == "last" and closes):
-                        rows = at[starts[k] : ends[k]]
-                        short = len(rows) < stuck
-                        rows = rows if short else rows[:1]  # a long run needs one marker only
-                        both = len(starts) == 1 and opens and closes
-                        edge[rows] = "whole" if both else tag
+            apart = len(usable) > 2 * WARM  # head and tail don't meet
+            tag = ("head", "tail") if apart or not (opens and closes) else ("both", "both")
+            if opens:
+                edge[usable[:WARM]] = edge[at[: stuck - 1]] = tag[0]
+            if closes:
+                edge[usable[-WARM:]] = edge[at[-(stuck - 1) :]] = tag[1]
+            nth = np.full(n, -1, np.int64)
+            nth[at] = np.arange(len(at))
             odd = (value <= 0) | (value > greatest)
-            keep = odd | (np.abs(inn) > z) | (length >= stuck) | (edge != None)  # noqa: E711
+            keep = odd | (np.abs(inn) > z) | still | (edge != None)  # noqa: E711
             if not keep.any():
                 return None
             rows = np.flatnonzero(keep)
@@ -183,10 +202,12 @@ def _scan(z: float, stuck: int, greatest: int):
             return (
                 part.select(["source", "ts", "id", "value", "centre", "spread"])
                 .append_column("innovation", pa.array(inn[rows]))
-                .append_column("candidate", pa.array(np.abs(inn[rows]) > z))
-                .append_column("run", pa.array(length[rows]))
-                .append_column("edge", pa.array(edge[rows].tolist(), pa.string()))
+                .append_column("variance", pa.array(variance[rows], from_pandas=True))
+                .append_column("still", pa.array(still[rows]))
                 .append_column("piece", pa.array(np.full(len(rows), piece, np.int32)))
+                .append_column("edge", pa.array(edge[rows].tolist(), pa.string()))
+                .append_column("nth", pa.array(nth[rows]))
+                .append_column("timed", pa.array(np.full(len(rows), len(at), np.int64)))
             )
 
         size = 0
@@ -206,6 +227,32 @@ def _scan(z: float, stuck: int, greatest: int):
     return run
 
 
+def _across(z: float, stuck: int):
+    """The rows on the borders of a source's pieces, from the tail of one piece to
+    the head of the next that is long enough to part them: both filters again. The
+    innovations of a tail stay, as its piece has forgotten its own start by then."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["piece", "nth"], kind="stable").reset_index(drop=True)
+        value, piece, nth, timed = (pdf[c].to_numpy() for c in ("value", "piece", "nth", "timed"))
+        centre, spread = (float(x) if x is not None else math.nan for x in pdf.loc[0, ["centre", "spread"]])
+        log = np.log(np.where(value > 0, value, 1).astype(float))
+        inn = _filter_piece(log, value > 0, centre, spread, z)
+        pdf["innovation"] = np.where(pdf["edge"] == "tail", pdf["innovation"], inn)
+        same = piece[1:] == piece[:-1]
+        follows = np.where(same, nth[1:] == nth[:-1] + 1, (nth[1:] == 0) & (nth[:-1] == timed[:-1] - 1))
+        stops = [0, *(np.flatnonzero(~follows) + 1).tolist(), len(pdf)]
+        variance, still = pdf["variance"].to_numpy(float, na_value=np.nan), pdf["still"].to_numpy(bool)
+        for a, b in zip(stops, stops[1:]):
+            v, s = _steadiness(value[a:b], stuck)
+            variance[a:b] = np.where(np.isnan(v), variance[a:b], v)
+            still[a:b] |= s
+        pdf["variance"], pdf["still"] = variance, still
+        return pdf[["source", "ts", "id", "value", "centre", "spread", "innovation", "variance", "still"]]
+
+    return run
+
+
 def flag_implausible(
     df: DataFrame,
     source: str,
@@ -218,16 +265,20 @@ def flag_implausible(
     far: float = 10.0,
     pieces: int | None = None,
 ) -> DataFrame:
-    """Implausible rows with the reason.
+    """Implausible and surprising rows with the reason.
 
-    Result: ``source, ts, id, value, innovation, impossible, stuck, spike``, one
-    row for each input row with one of the three flags. ``impossible``: zero,
-    negative or above ``greatest``. ``stuck``: one of at least ``stuck`` equal
-    readings in a row, in order of (ts, id). ``spike``: a filter candidate whose
-    log lies further from the source's median than ``far`` median distances.
+    Result: ``source, ts, id, value, innovation, variance, impossible, stuck, spike,
+    surprising``, one row for each input row with one of the four flags.
+    ``impossible``: zero, negative or above ``greatest``. ``stuck``: one of at least
+    ``stuck`` readings in a row, in order of (ts, id), over which the variance of
+    the innovations vanishes; ``variance`` is that of those up to the row, null
+    where fewer rows came before. ``surprising``: the standardised ``innovation`` is
+    beyond ``z``, so the row did not update the filter. ``spike``: surprising, and
+    its log lies further from the source's median than ``far`` median distances.
     Rows without source or value are never flagged; rows without ts are judged
-    for impossible values and spikes only. Repeated rows count each. A source
-    with no spread flags every reading off its median. Empty input: no rows.
+    for impossible values, and by their distance from the centre for the last two flags.
+    Repeated rows count each. A source with no spread flags every reading off its
+    median. Empty input: no rows.
     """
     spark = df.sparkSession
     readings = df.select(
@@ -236,49 +287,31 @@ def flag_implausible(
         F.col(id).cast("bigint").alias("id"),
         F.col(value).cast("bigint").alias("value"),
     ).filter("source is not null and value is not null")
-    levels = robust_levels(readings)
+    hist = materialize(readings.groupBy("source", "value").agg(F.count(F.lit(1)).alias("n")))
+    pieces = pieces or parts_for(hist.agg(F.sum("n")).first()[0] or 0, ROWS_PER_PIECE, spark.sparkContext.defaultParallelism)
+    levels = materialize(robust_levels(hist))
     tagged = readings.join(levels, "source", "left")
-    pieces = pieces or parts_for(df.count(), ROWS_PER_PIECE, spark.sparkContext.defaultParallelism)
     laid = tagged.repartitionByRange(pieces, "source", "ts", "id").sortWithinPartitions("source", "ts", "id")
     seen = materialize(laid.mapInArrow(_scan(z, stuck, greatest), _SCHEMA))
 
-    # Runs that touch a piece's edge: at most two records of a run per piece.
-    same = Window.partitionBy("source", "value").orderBy("piece", "ord")
-    edges = (
-        seen.filter("edge is not null")
-        .withColumn("ord", F.when(F.col("edge") == "last", 1).otherwise(0))
-        .groupBy("source", "value", "piece", "ord", "edge")
-        .agg(F.max("run").alias("run"))
-    )
-    filled = edges.select("piece").distinct().withColumn("nth", F.row_number().over(Window.orderBy("piece")))
-    ends = (
-        edges.join(filled, "piece")
-        .withColumn("was_piece", F.lag("nth").over(same))
-        .withColumn("was_edge", F.lag("edge").over(same))
-        # joined to the run before when that one reaches the end of the piece just before
-        .withColumn(
-            "joined",
-            (F.col("nth") == F.col("was_piece") + 1)
-            & F.col("was_edge").isin("last", "whole")
-            & F.col("edge").isin("first", "whole"),
-        )
-        .withColumn("island", F.sum(F.when(F.col("joined"), 0).otherwise(1)).over(same))
-        .withColumn("total", F.sum("run").over(Window.partitionBy("source", "value", "island")))
-        .select("source", "value", "piece", "edge", "total")
-    )
-    merged = seen.join(ends, ["source", "value", "piece", "edge"], "left")
-    is_stuck = F.greatest("run", F.coalesce("total", F.lit(0))) >= stuck
-    spike = (
-        F.col("candidate")
-        & (F.col("value") > 0)
-        & (F.abs(F.log("value") - F.col("centre")) > far * F.col("spread"))
-    )
-    return (
-        merged.select(
-            "source", "ts", "id", "value", "innovation",
-            ((F.col("value") <= 0) | (F.col("value") > greatest)).alias("impossible"),
-            is_stuck.alias("stuck"),
-            F.coalesce(spike, F.lit(False)).alias("spike"),
-        )
-        .filter("impossible or stuck or spike")
+    # A border's rows: WARM of either side, whatever the size of the pieces.
+    edges = seen.filter("edge is not null")
+    before = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    parted = (
+        edges.groupBy("source", "piece").agg(F.max((F.col("edge") == "tail").cast("int")).alias("cut"))
+        .select("source", "piece", F.coalesce(F.sum("cut").over(before), F.lit(0)).alias("border"))
     )
+    border = F.col("border") + (F.col("edge") == "tail").cast("int")
+    joined = edges.join(parted, ["source", "piece"]).withColumn("border", border)
+    names = [c.split()[0] for c in _ROW.split(", ")]
+    again = joined.groupBy("source", "border").applyInPandas(_across(z, stuck), _ROW)
+    every = seen.filter("edge is null").select(*names).unionByName(again)
+    surprising = F.abs("innovation") > z
+    far_off = F.abs(F.log(F.when(F.col("value") > 0, F.col("value"))) - F.col("centre")) > far * F.col("spread")
+    return every.select(
+        "source", "ts", "id", "value", "innovation", "variance",
+        ((F.col("value") <= 0) | (F.col("value") > greatest)).alias("impossible"),
+        F.col("still").alias("stuck"),
+        F.coalesce(surprising & far_off, F.lit(False)).alias("spike"),
+        surprising.alias("surprising"),
+    ).filter("impossible or stuck or spike or surprising")

@@ -40,7 +40,8 @@ def p1_reasons(spark, d):
 
 
 def _flags(spark, d):
-    return flag_implausible(table(spark, d, "logs"), "service", "log_ts", "log_id", "latency_ms")
+    flags = flag_implausible(table(spark, d, "logs"), "service", "log_ts", "log_id", "latency_ms")
+    return flags.filter("impossible or stuck or spike")  # without those that only surprise
 
 
 def p2_found(spark, d):

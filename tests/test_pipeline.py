@@ -157,9 +157,63 @@ def test_spikes_match_brute_force_however_split(spark, pieces):
                 v = 333
             ts = None if rng.random() < 0.02 else start + dt.timedelta(seconds=int(k / 3))  # ties in time
             rows.append((i, ts, service if rng.random() > 0.01 else None, v if rng.random() > 0.01 else None, "x", 1, "y"))
-    got = flag_implausible(logs(spark, rows), "service", "log_ts", "log_id", "latency_ms", pieces=pieces)
-    ids = [r.id for r in got.collect()]
-    assert len(ids) == len(set(ids)) and set(ids) == brute_flags(rows)
+    got = flag_implausible(logs(spark, rows), "service", "log_ts", "log_id", "latency_ms", pieces=pieces).collect()
+    ids = [r.id for r in got]
+    assert len(ids) == len(set(ids)) and {r.id for r in got if r.impossible or r.stuck or r.spike} == brute_flags(rows)
+    want = brute_innovations(rows, 3.0)
+    assert {r.id for r in got if r.surprising} == {i for i, e in want.items() if abs(e) > 3}
+    assert all(np.isclose(abs(r.innovation), abs(want[r.id]), rtol=1e-8, atol=0) for r in got if r.id in want and r.surprising)
+
+
+def brute_innovations(rows, z):
+    """Kalman filter over each source as a whole, reading by reading."""
+    df = pd.DataFrame([r[:4] for r in rows], columns=["id", "ts", "service", "v"]).dropna(subset=["service", "v"])
+    out = {}
+    for _, g in df[df.v > 0].groupby("service"):
+        centre = np.log(np.median(g.v))
+        sd = 1.4826 * np.median(np.abs(np.log(g.v) - centre))
+        level, var = 0.0, 0.5 * sd**2
+        for r in g.sort_values(["ts", "id"]).itertuples():
+            e = np.log(r.v) - centre
+            if r.ts is pd.NaT or sd == 0:
+                out[r.id] = e / sd if sd else (0.0 if e == 0 else np.inf)
+                continue
+            s = var + 0.5 * sd**2
+            out[r.id] = (e - level) / np.sqrt(s)
+            if abs(out[r.id]) <= z:
+                level, var = level + var / s * (e - level), var - var * var / s
+            level, var = 0.7 * level, 0.49 * var + 0.5 * sd**2 * 0.51
+    return out
+
+
+def test_the_filter_follows_what_a_median_cannot(spark):
+    """Readings that are usual for the source but not at their time surprise, unless
+    they lie towards its centre; a slow drift, a daily course and a lasting level shift
+    don't; z decides."""
+    rng = np.random.default_rng(8)
+    start, rows, odd = dt.datetime(2020, 1, 1), [], set()
+    for service, course in (
+        ("drift", lambda k: 1.2 * k / 3000), ("daily", lambda k: 0.6 * np.sin(k / 3000 * 60)), ("shift", lambda k: 0.5 * (k > 1500)),
+    ):
+        for k in range(3000):
+            i = len(rows)
+            x = 6 + course(k) + rng.normal(0, 0.05)
+            if k in (400, 2500):  # the other end of the usual range
+                x += 1.1 if course(k) < 0.5 else -1.1
+                odd.add(i)
+            rows.append((i, start + dt.timedelta(minutes=k), service, int(np.exp(x)), "x", 1, "y"))
+    find = lambda z: flag_implausible(logs(spark, rows), "service", "log_ts", "log_id", "latency_ms", z=z, pieces=5)
+    got = find(2.0).collect()
+    surprising = {r.id for r in got if r.surprising}
+    assert surprising <= odd and len(surprising) >= 3 and not any(r.spike for r in got)  # no drift, course or shift by itself
+    assert len({r.id for r in find(1.0).filter("surprising").collect()}) > len(surprising) > find(6.0).filter("surprising").count()
+
+
+def test_stuck_sensors_by_vanishing_innovation_variance(spark):
+    rows = [(i, dt.datetime(2020, 1, 1) + dt.timedelta(minutes=i), "a", 500 + (i * 37) % 90 if not 300 <= i < 312 else 444, "x", 1, "y") for i in range(600)]
+    got = flag_implausible(logs(spark, rows), "service", "log_ts", "log_id", "latency_ms", pieces=3).filter("stuck").collect()
+    assert sorted(r.id for r in got) == list(range(300, 312))
+    assert {r.id for r in got if r.variance == 0} == {309, 310, 311}  # windows of ten readings end there
 
 
 def test_spikes_edges(spark):
