@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: What counts as no value, compared in lower case.
 NULL_TOKENS = ("na", "n/a", "null", "none", "nan")
 
+BLANKS = " \t\n\x0b\f\r\u00a0\u3000"
+
 _END, _ESC = "\x01", "\x02"
 
 
@@ -67,7 +69,7 @@ def _sound(f: Column) -> Column:
 
 def _value(f: Column) -> Column:
     plain = F.when(_is_quoted(f), F.replace(_inner(f), F.lit('""'), F.lit('"'))).otherwise(f)
-    return F.regexp_replace(plain, r"^[\s 　]+|[\s 　]+$", "")
+    return F.btrim(plain, F.lit(BLANKS))
 
 
 def _absent(v: Column) -> Column:
