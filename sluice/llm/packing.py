@@ -6,8 +6,9 @@ work grows in proportion to the rows and no task ever sees more than a shard.
 Within a shard, the histogram of lengths is covered by non-negative least
 squares: columns are shallow length combinations whose sum falls into a narrow
 window under the capacity, the unknowns are how often to repeat each. Rounded
-down, they fill most containers nearly to the brim; what is left over is packed
-greedily, largest first, into the tightest gap.
+down, they fill most containers to the brim, as each container's last item is the
+best of its exact length; what is left over is packed greedily, largest first, into
+the tightest gap. The result never needs more containers than that greedy way alone.
 """
 
 from __future__ import annotations
@@ -128,42 +129,8 @@ def combinations(tops: np.ndarray, capacity: int) -> list[dict[int, int]]:
     return list(found.values())
 
 
-def pack(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Container number of each item; every length is in 1..capacity."""
-    n = len(lengths)
-    box = np.full(n, -1, np.int64)
-    used: list[int] = []
-    distinct = np.unique(lengths)
-    if len(distinct) > CLASSES:
-        # equal numbers of items in half of the classes, equal ratios of lengths in the other half
-        even = np.quantile(lengths, np.linspace(0, 1, CLASSES // 2 + 1)[1:], method="higher")
-        steps = np.geomspace(distinct[0], distinct[-1], CLASSES // 2)
-        tops = np.unique(np.concatenate([even, distinct[np.minimum(np.searchsorted(distinct, steps), len(distinct) - 1)]])).astype(np.int64)
-    else:
-        tops = distinct.astype(np.int64)
-    kind = np.searchsorted(tops, lengths)
-    order = np.lexsort((np.arange(n), lengths, kind))
-    supply = [order[a:b].tolist() for a, b in zip(np.searchsorted(kind[order], range(len(tops))), np.searchsorted(kind[order], range(len(tops)), side="right"))]
-    hist = np.array([len(s) for s in supply], float)
-    combos = combinations(tops, capacity) if n else []
-    if combos:
-        a = np.zeros((len(tops), len(combos)))
-        for c, combo in enumerate(combos):
-            for q, t in combo.items():
-                a[q, c] = t
-        scale = 1 / np.sqrt(np.maximum(hist, 1))  # a miss counts relative to the class
-        repeat = np.floor(RESERVE * nnls(a * scale[:, None], hist * scale) + 1e-6).astype(int)
-        for c in np.argsort(-repeat):
-            for _ in range(repeat[c]):
-                if any(len(supply[q]) < t for q, t in combos[c].items()):
-                    break
-                total = 0
-                for q, t in combos[c].items():
-                    for _ in range(t):
-                        item = supply[q].pop()
-                        box[item] = len(used)
-                        total += int(lengths[item])
-                used.append(total)
+def _greedy(lengths: np.ndarray, capacity: int, box: np.ndarray, used: list[int]) -> None:
+    """Items without a container, largest first, into the tightest gap."""
     gaps = sorted((capacity - u, b) for b, u in enumerate(used) if u < capacity)
     left = np.flatnonzero(box < 0)
     for item in left[np.lexsort((left, -lengths[left]))].tolist():
@@ -174,10 +141,102 @@ def pack(lengths: np.ndarray, capacity: int) -> np.ndarray:
         else:
             gap, b = capacity, len(used)
             used.append(0)
+        used[b] += size
         box[item] = b
         if gap > size:
             insort(gaps, (gap - size, b))
-    return box
+
+
+class _Supply:
+    """Items by exact length; the longest of at most a given length comes first."""
+
+    def __init__(self, lengths: np.ndarray):
+        order = np.lexsort((np.arange(len(lengths)), lengths))
+        self.size, starts = np.unique(lengths[order], return_index=True)
+        self.items = [order[a:b].tolist() for a, b in zip(starts, [*starts[1:], len(order)])]
+        self.below = list(range(len(self.size)))  # the next length with items, at or under each one
+
+    def _find(self, k: int) -> int:
+        way = []
+        while k >= 0 and not self.items[k]:
+            way.append(k)
+            self.below[k] = self.below[k] if self.below[k] < k else k - 1
+            k = self.below[k]
+        for w in way:
+            self.below[w] = k
+        return k
+
+    def take(self, most: int, least: int = 0) -> int | None:
+        """An item of the greatest length within (least, most]."""
+        k = self._find(int(np.searchsorted(self.size, most, side="right")) - 1)
+        return self.items[k].pop() if k >= 0 and self.size[k] > least else None
+
+
+def _solved(lengths: np.ndarray, capacity: int, box: np.ndarray, used: list[int]) -> None:
+    """Containers of the combinations that least squares repeats. All items of a
+    combination but its shortest come from their length classes; the last place
+    goes to the item that fills the container best, if it is not far from full."""
+    distinct = np.unique(lengths)
+    if len(distinct) > CLASSES:
+        # equal numbers of items in half of the classes, equal ratios of lengths in the other half
+        even = np.quantile(lengths, np.linspace(0, 1, CLASSES // 2 + 1)[1:], method="higher")
+        steps = np.geomspace(distinct[0], distinct[-1], CLASSES // 2)
+        tops = np.unique(np.concatenate([even, distinct[np.minimum(np.searchsorted(distinct, steps), len(distinct) - 1)]])).astype(np.int64)
+    else:
+        tops = distinct.astype(np.int64)
+    floors = np.r_[0, tops[:-1]]
+    hist = np.bincount(np.searchsorted(tops, lengths), minlength=len(tops)).astype(float)
+    combos = combinations(tops, capacity)
+    if not combos:
+        return
+    a = np.zeros((len(tops), len(combos)))
+    for c, combo in enumerate(combos):
+        for q, t in combo.items():
+            a[q, c] = t
+    scale = 1 / np.sqrt(np.maximum(hist, 1))  # a miss counts relative to the class
+    repeat = np.floor(RESERVE * nnls(a * scale[:, None], hist * scale) + 1e-6).astype(int)
+    supply = _Supply(lengths)
+    for c in np.argsort(-repeat, kind="stable"):
+        parts = [q for q in sorted(combos[c], reverse=True) for _ in range(combos[c][q])]
+        for _ in range(repeat[c]):
+            own: list[int] = []
+            total = 0
+            for q in parts[:-1]:
+                item = supply.take(min(int(tops[q]), capacity - total), int(floors[q]))
+                if item is None:
+                    break
+                own.append(item)
+                total += int(lengths[item])
+            last = supply.take(capacity - total) if len(own) == len(parts) - 1 else None
+            if last is not None:
+                own.append(last)
+                total += int(lengths[last])
+            if last is None or total < capacity * (1 - WINDOW):  # not as planned: back to the supply
+                for item in own:
+                    k = int(np.searchsorted(supply.size, lengths[item]))
+                    supply.items[k].append(item)
+                    supply.below[k:] = list(range(k, len(supply.size)))
+                break
+            box[own] = len(used)
+            used.append(total)
+
+
+def pack(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Container number of each item; every length is in 1..capacity. The solved
+    combinations are kept only where the rest, packed greedily, needs no more
+    containers with them than all items packed greedily without them."""
+    lengths = np.asarray(lengths, np.int64)
+    best, n = np.full(len(lengths), -1, np.int64), None
+    for solve in (True, False):
+        box, used = np.full(len(lengths), -1, np.int64), []
+        if solve and len(lengths):
+            _solved(lengths, capacity, box, used)
+        _greedy(lengths, capacity, box, used)
+        if n is None or len(used) < n:
+            best, n = box, len(used)
+        if n == -(-int(lengths.sum()) // capacity):
+            break  # no packing has fewer
+    return best
 
 
 def pack_texts(

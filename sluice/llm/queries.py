@@ -63,6 +63,25 @@ def p8_fill(spark, d):
     )
 
 
+def p8_invariants(spark, d):
+    """Per kind: texts packed; containers over their capacity; texts whose pieces are
+    not the whole text in order; texts split although they fit. The last three are 0."""
+    packed = p8_packing(spark, d)
+    kinds = ["container_kind", "capacity"]
+    full = packed.groupBy(*kinds, "container_id").agg(F.sum("tokens").alias("t")).groupBy(*kinds).agg(
+        F.sum((F.col("t") > F.col("capacity")).cast("bigint")).alias("overfull")
+    )
+    whole = packed.groupBy(*kinds, "doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("piece").alias("last"), F.sum("tokens").alias("t"), F.max(F.col("start_token") + F.col("tokens")).alias("end")
+    )
+    sound = whole.groupBy(*kinds).agg(
+        F.count(F.lit(1)).alias("texts"),
+        F.sum(((F.col("n") != F.col("last") + 1) | (F.col("t") != F.col("end"))).cast("bigint")).alias("torn"),
+        F.sum(((F.col("n") > 1) & (F.col("t") <= F.col("capacity"))).cast("bigint")).alias("split"),
+    )
+    return full.join(sound, kinds)
+
+
 def p9_found(spark, d):
     docs, items = table(spark, d, "documents"), table(spark, d, "eval_items")
     got = leaked(docs, items, "doc_id", "text", "eval_id", "passage", share=0.4)
@@ -84,12 +103,14 @@ r as (select {keys}, latency_ms, row_number() over (partition by {keys} order by
 select {keys}, max(n) as n, {ps} from r group by {keys}"""
 
 
-QUERIES = {f.__name__: f for f in (p3_service_percentiles, p3_service_day_percentiles, p3_from_days, p6_found, p7_found, p7_groups, p8_packing, p8_fill, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_service_percentiles, p3_service_day_percentiles, p3_from_days, p6_found, p7_found, p7_groups, p8_packing, p8_fill, p8_invariants, p9_found, p10_found)}
 
 SQL = {
     "p3_service_percentiles": _percentile_sql("service", ""),
     "p3_service_day_percentiles": _percentile_sql("service, day", "and log_ts is not null"),
     "p3_from_days": _percentile_sql("service", "and log_ts is not null"),
+    "p8_invariants": """select container_kind, cast(capacity_tokens as bigint) as capacity, (select count(*) from documents where text is not null) as texts,
+        0 as overfull, 0 as torn, 0 as split from containers where exists (select 1 from documents where text is not null)""",
     "p6_found": """select region, sale_id from (select region, sale_id, row_number() over
         (partition by region order by revenue desc, sale_id) as r from sales where region is not null and revenue is not null) q where r <= 5""",
 }

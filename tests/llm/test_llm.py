@@ -134,6 +134,23 @@ def test_pack_never_overfills(capacity):
         assert sizes.sum() / (len(fill) * capacity) > 0.95
 
 
+@pytest.mark.parametrize("capacity", [64, 512, 4096])
+def test_packing_is_never_worse_than_greedy(capacity):
+    from sluice.llm.packing import _greedy, _solved
+
+    rng = np.random.default_rng(capacity)
+    for sizes in (rng.lognormal(4, 1, 4000), rng.uniform(0.3, 0.6, 3000) * capacity, np.full(500, 0.35 * capacity), rng.choice([0.2, 0.45, 0.55], 2000) * capacity):
+        sizes = np.clip(sizes.astype(int), 1, capacity)
+        box, used = np.full(len(sizes), -1), []
+        _greedy(sizes, capacity, box, used)
+        fill = np.bincount(pack(sizes, capacity), weights=sizes)
+        assert len(fill) <= len(used) and fill.max() <= capacity and (fill > 0).all()
+    sizes = np.clip(rng.lognormal(4, 1, 4000).astype(int), 1, 512)
+    box, used = np.full(len(sizes), -1), []
+    _solved(sizes, 512, box, used)
+    assert len(used) * 512 > 0.5 * sizes.sum() and sum(used) > 0.999 * 512 * len(used)  # the combinations carry the packing
+
+
 def test_pack_texts_round_trip(spark):
     texts = ["", "a", None, "word " * 700, "één twee drie", "x" * 30_000, "same text", "same text", "日本語" * 500]
     df = spark.createDataFrame([(i, t, 1, "k") for i, t in enumerate(texts)], "doc_id bigint, text string, tokens int, kind string")
