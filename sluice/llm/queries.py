@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.clusters import describe_groups, similarity_groups, unit_vectors
+from sluice.llm.clusters import describe_groups, mixture_clusters, similarity_groups, unit_vectors
 from sluice.llm.leaks import leaked
 from sluice.llm.packing import pack_texts, token_counts
 from sluice.llm.percentiles import percentiles, summarize
@@ -50,6 +50,11 @@ def p7_groups(spark, d):
     return describe_groups(_groups(spark, d)).withColumnRenamed("head", "head_id")
 
 
+def p7_clusters(spark, d):
+    """The mixture's components with their sizes and most typical items."""
+    return mixture_clusters(unit_vectors(table(spark, d, "catalog_items"), "item_id", "embedding"))
+
+
 def p8_packing(spark, d):
     packed = pack_texts(table(spark, d, "documents"), table(spark, d, "containers"))
     return packed.withColumnRenamed("id", "doc_id")
@@ -103,7 +108,7 @@ r as (select {keys}, latency_ms, row_number() over (partition by {keys} order by
 select {keys}, max(n) as n, {ps} from r group by {keys}"""
 
 
-QUERIES = {f.__name__: f for f in (p3_service_percentiles, p3_service_day_percentiles, p3_from_days, p6_found, p7_found, p7_groups, p8_packing, p8_fill, p8_invariants, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_service_percentiles, p3_service_day_percentiles, p3_from_days, p6_found, p7_found, p7_groups, p7_clusters, p8_packing, p8_fill, p8_invariants, p9_found, p10_found)}
 
 SQL = {
     "p3_service_percentiles": _percentile_sql("service", ""),

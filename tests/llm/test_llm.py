@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm.clusters import describe_groups, exact_groups_by_force, fit_mixture, similarity_groups, unit_vectors
+from sluice.llm.clusters import describe_groups, exact_groups_by_force, fit_mixture, mixture_clusters, similarity_groups, unit_vectors
 from sluice.llm.leaks import EXTEND, MATCH, MISS, OPEN, SCALE, _fill, align, covered, edits_allowed, FOREIGN, EDGE, grams, leaked, numbers, words
 from sluice.llm.packing import pack, pack_texts, tokenizer, default_vocabulary
 from sluice.llm.percentiles import percentiles, summarize
@@ -112,6 +112,53 @@ def test_groups_edges_and_description(spark):
     assert (d["head"], d["size"], len(d["typical"])) == (0, 5, 3)
 
 
+def test_groups_of_balls_that_leave_a_doubt(spark):
+    """Groups in many balls, and lone rows that are alike to some of their members only."""
+    rng = np.random.default_rng(6)
+    axis = np.eye(10)
+    v, limit = [], np.arccos(0.86)
+    turn = lambda a, b, t: np.cos(t) * a + np.sin(t) * b
+    for k in range(4):
+        size = 0.24 if k < 2 else 0.1
+        v += [turn(axis[2 * k], axis[2 * k + 1], rng.uniform(-size, size)) for _ in range(90)]
+        if k % 2:
+            v.append(turn(axis[2 * k], axis[2 * k + 1], limit + size / 2))  # spoils the group
+        else:
+            v.append(turn(axis[2 * k], axis[2 * k + 1], limit + size + 0.02))  # just outside
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "item bigint, e array<double>").repartition(3)
+    units = unit_vectors(df, "item", "e")
+    ids, u = zip(*[(r.id, r.u) for r in units.collect()])
+    want = exact_groups_by_force(np.array(ids), np.array(u, float), 0.86)
+    assert len(want) == 180
+    for chunk in (6, 25, 1500):
+        assert {(r.id, r.head) for r in similarity_groups(units, chunk=chunk).collect()} == want
+
+
+def test_a_large_cloud_of_chains_has_no_groups(spark):
+    """200,000 rows along a closed curve, each alike to its neighbours only, and one group aside."""
+    t = F.col("id") * (2 * np.pi / 200_000)
+    curve = [f(t * k) for k in (1, 2, 3) for f in (F.cos, F.sin)]
+    cloud = spark.range(200_000).select("id", F.array(*curve, F.lit(0.0)).alias("e"))
+    aside = spark.range(200_000, 200_030).select("id", F.array(*[F.lit(0.01) * (F.col("id") % 3)] * 6, F.lit(1.0)).alias("e"))
+    got = similarity_groups(unit_vectors(cloud.unionByName(aside), "id", "e")).collect()
+    assert {(r.id, r.head) for r in got} == {(i, 200_000) for i in range(200_000, 200_030)}
+
+
+def test_mixture_clusters(spark):
+    rng = np.random.default_rng(2)
+    v = vectors(rng, [200, 100, 50], 0.03)
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "item bigint, e array<double>")
+    units = unit_vectors(df, "item", "e")
+    fitted = fit_mixture(units.cache())
+    rows = mixture_clusters(units, 5, fitted).collect()
+    assert sum(r["size"] for r in rows) == 350 and len({r.cluster for r in rows}) == len(rows) == len(fitted.model.weight)
+    assert fitted.scores[min(fitted.scores, key=fitted.scores.get)] < fitted.scores[max(fitted.scores)]  # the criterion turned
+    for r in rows:
+        home = {0 if i < 200 else 1 if i < 300 else 2 for i in r.typical}
+        assert len(r.typical) == min(5, r["size"]) and len(home) == 1
+    assert mixture_clusters(units.limit(0)).count() == 0
+
+
 def test_mixture_prefers_the_true_number_of_components(spark):
     rng = np.random.default_rng(0)
     v = vectors(rng, [150] * 4, 0.05)
