@@ -94,9 +94,9 @@ def p9_found(spark, d):
 
 
 def p10_found(spark, d):
-    """Flagged outliers more than half of whose characters are keywords."""
+    """Texts that lie far from their language's centre in the direction of spam."""
     judged = stuffed(table(spark, d, "documents"), "doc_id", "text", "lang")
-    return judged.filter((F.col("chars") >= LEAST_CHARS) & F.col("flagged") & (F.col("dense") > 0.5)).select(F.col("id").alias("doc_id"))
+    return judged.filter((F.col("chars") >= LEAST_CHARS) & F.col("flagged")).select(F.col("id").alias("doc_id"))
 
 
 def _percentile_sql(keys: str, where: str) -> str:

@@ -5,9 +5,10 @@ words are spread (entropy), how much it repeats itself and how many function
 words hold it together. Per language, centre and scatter of these features are
 estimated robustly: medians and median deviations first, then moments of the
 rows that lie near them, all as mergeable aggregates over every text whose own
-words tell its language. A text is
-flagged when its Mahalanobis distance is large and its deviation points towards
-spam: denser, more repetitive, less held together.
+words tell its language; the fewer such texts, the more the estimate leans on that of all
+languages. A text is stuffed when its Mahalanobis distance is large and its
+deviation points towards spam: denser, more repetitive, less held together. The
+distance decides; no single feature does.
 """
 
 from __future__ import annotations
@@ -49,9 +50,6 @@ PHRASE_GLUE = frozenset(
 )
 ASKING = frozenset("how what which where who when wie wer comment quel quelle où qui que como cómo quien dónde cuál".split())
 
-#: Words in hiragana that stand alone as keywords.
-KANA_KEYWORDS = ("おすすめ",)
-
 #: Particles and endings in hiragana that sentences of an unspaced script hold.
 KANA_GLUE = "[はがをにでとも]|した|です|ます"
 
@@ -64,15 +62,25 @@ PHRASES, HEAD_SHARE = 5, 0.5  # search phrases that a text holds at least; of th
 LEAST_CHARS = 80
 FEATURES = ("dense", "glue", "entropy", "repeat", "marks", "links")
 TOWARDS = (1, -1, -1, 1, 1, 1)  # the direction of spam in each feature
-LEAST_SCALE = 0.02  # under which a feature's spread is not taken
-LEAST_ROWS = 50  # a language that fewer texts show by their own words is judged by all such texts together
+SENTENCE_SHARE, SHORT, REPEATED = 0.6, 3, 0.3  # see _foreign
+LEAST_SCALE = 0.02  # under which a feature's spread is not taken when rows near the centre are told
+#: What is added to the spread of each of FEATURES: deviations that matter to nobody.
+EASE = (0.12, 0.1, 0.1, 0.15, 0.06, 0.12)
+PRIOR_ROWS = 50  # texts of one language that weigh as much as the estimate of all languages
 #: Centre and spread of FEATURES where no text shows its language: medians and median deviations of the
-#: check_l reviews, rounded, no spread under 0.02 and that of ``dense``, which is 0 there, raised to 0.05.
-REST = ((0.0, 0.42, 0.9, 0.06, 0.01, 0.0), (0.05, 0.07, 0.05, 0.07, 0.02, 0.02))
-CUT = 20.0  # squared distance; 16.8 holds 99 % of six normal features
+#: check_l reviews, rounded, no spread under 0.02.
+REST = ((0.0, 0.42, 0.9, 0.06, 0.01, 0.0), (0.02, 0.07, 0.05, 0.07, 0.02, 0.02))
+NORMAL = 0.5  # greatest density of a text that helps to make the norm
+CUT = 30.0  # squared distance
+DIRECTION = 0.3  # least share of the deviation that points towards spam
 
 _LINK = re.compile(r"(?:https?|hxxps?|ftp)://[^\s<>\"'\])]+|www\.[^\s<>\"'\])]+|[\w-]+(?:\.[\w-]+)+/[^\s<>\"'\])]*", re.I)
 _TOKEN = re.compile(r"([.!?。！？…]+(?=\s|$|[\"')\]])|[。！？\r\n]+)|\x00L(\d+)\x00|([぀-ヿ㐀-鿿豈-﫿]+)|([^\W_぀-ヿ㐀-鿿豈-﫿]+)")
+_STOP = re.compile(r"[.!?。！？…]+(?=\s|$|[\"')\]])|[。！？\r\n]+")
+_ANY = re.compile(r"[^\W_]+")
+_CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
+_SENTENCE = re.compile(r"[^.!?。！？…\r\n]+[.!?。！？…]+")
+_LINK_MARK = re.compile(r"\x00L\d+\x00")
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]{0,500}>")
 _KANA_GLUE = re.compile(KANA_GLUE)
 _KANA = re.compile(r"[぀-ゟ]")
@@ -82,112 +90,183 @@ _SETS = {lang: frozenset(words.split()) for lang, words in GLUE.items()}
 _ALL = frozenset().union(*_SETS.values())
 
 
-def describe(text: str) -> tuple[str, float, list[float]]:
-    """(language by function words or '', characters, FEATURES) of one text."""
-    plain = text
-    links: list[str] = []
+def _foreign(plain: str) -> list[tuple[int, int]]:
+    """Sentences of a language whose function words are not known, as places in
+    the text: they end with a mark, begin with a capital, go on in small letters and
+    hold no piece marks but commas; in scripts without blanks they are long. The text
+    must consist of them for the most part and repeat few of its longer words: keywords
+    set out as sentences repeat most of them."""
+    words = _ANY.findall(plain.lower())
+    # where no blanks part words, pairs of characters stand for them
+    parts = [x for w in words for x in ((w[i : i + 2] + "  " for i in range(len(w) - 1)) if _CJK.match(w) else (w,))]
+    long = Counter(w for w in parts if len(w) > SHORT)
+    if sum(c for c in long.values() if c > 1) > REPEATED * max(1, len(parts)):
+        return []
+    found, held = [], 0
+    for m in _SENTENCE.finditer(plain):
+        unit = m.group().strip(" \"'“”«»(¿¡-")
+        own = _ANY.findall(unit)
+        letters = sum(map(len, own))
+        if unit and _CJK.match(unit):
+            sound = letters >= 2 * SENTENCE_CHARS and max(map(len, own)) >= SENTENCE_CHARS and " " not in unit.strip()
+        else:
+            sound = len(own) >= 3 and unit[0].isupper() and sum(map(str.islower, own[1:])) >= 0.7 * (len(own) - 1) and not _PIECE.search(unit.replace(", ", " "))
+        if sound:
+            found.append(m.span())
+            held += letters
+    return found if held >= SENTENCE_SHARE * sum(map(len, words)) else []
+
+
+class _Tokens:
+    """The tokens of a text: size of each, whether it is keyword text, and the
+    pieces between marks and ends of sentences (first token, words)."""
+
+    def __init__(self):
+        self.sizes: list[float] = []
+        self.dense: list[bool] = []
+        self.pieces: list[tuple[int, list[str]]] = []
+        self.counts: Counter = Counter()
+        self.glue = self.kana = 0
+        self.link_chars = 0.0
+
+    def mark(self, a: int, b: int):
+        self.dense[a:b] = [True] * (b - a)
+
+
+def _words_only(plain: str) -> _Tokens:
+    """``_scanned`` for texts of words alone, without links and scripts without blanks."""
+    t = _Tokens()
+    past_w, past_at = 0, 0
+    for unit in _STOP.split(plain.lower()):
+        at = len(t.sizes)
+        for part in _PIECE.split(unit):
+            if own := _ANY.findall(part):
+                t.pieces.append((len(t.sizes), own))
+                t.sizes += map(len, own)
+        t.dense += [False] * (len(t.sizes) - at)
+        words = [w for p in t.pieces[::-1] if p[0] >= at for w in p[1][::-1]][::-1] if len(t.sizes) > at else []
+        holds = [k for k, w in enumerate(words) if w in _ALL]
+        t.counts.update(words)
+        if not holds:
+            past_w += len(words)
+            continue
+        if past_w >= ALONE:
+            t.mark(past_at, at)
+        past_w, past_at = 0, len(t.sizes)
+        t.glue += len(holds)
+        if len(words) >= RUN:
+            for a, b in zip([-1, *holds], [*holds, len(words)]):
+                if b - a - 1 >= RUN:
+                    t.mark(at + a + 1, at + b)
+    if past_w >= ALONE:
+        t.mark(past_at, len(t.sizes))
+    return t
 
-    def keep(m):
-        links.append(m.group())
-        return f" \x00L{len(m.group())}\x00 "
 
-    plain = _LINK.sub(keep, plain.replace("\x00", " "))
-    plain = _TAG.sub(lambda m: " " + " ".join(re.findall(r"\x00L\d+\x00", m.group())) + " ", plain)
+def _scanned(plain: str, foreign: list[tuple[int, int]] = ()) -> _Tokens:
+    """Token by token. Keyword text is a run of RUN words without a function word
+    inside a sentence, or of ALONE words in sentences or lines without any."""
+    t = _Tokens()
     # the run since the last function word; the unit (sentence or line) under way;
     # the units before it, as far back as none holds a function word
     run_w = unit_w = past_w = 0.0
-    chars = link_chars = 0.0
+    run_at = unit_at = past_at = 0  # the tokens at which they begin
     held = False
-    sizes: list[float] = []  # of every token, and whether it is keyword text
-    dense: list[bool] = []
-    run_at = unit_at = past_at = 0  # the tokens at which run, unit and units before it begin
-    pieces: list[tuple[int, list[str]]] = []  # first token and words of each piece between marks and ends of sentences
     last = 0
-    counts: Counter = Counter()
-    glue = n = 0
-    by = dict.fromkeys(_SETS, 0)
-    kana_glue = 0
+    spans = iter([*foreign, (len(plain) + 1, len(plain) + 1)])
+    span = next(spans)
 
     def end_run():
         nonlocal run_w
         if held and run_w >= RUN:
-            dense[run_at:] = [True] * (len(dense) - run_at)
+            t.mark(run_at, len(t.dense))
         run_w = 0.0
 
     def end_past():
         nonlocal past_w
         if past_w >= ALONE:
-            dense[past_at:unit_at] = [True] * (unit_at - past_at)
+            t.mark(past_at, unit_at)
         past_w = 0.0
 
     def end_unit():
         nonlocal held, unit_w, past_w, run_w, run_at, unit_at, past_at
         if held:
             end_run()
-            past_at = len(sizes)
+            past_at = len(t.sizes)
         else:
             past_w += unit_w
             run_w = 0.0
         unit_w = 0.0
-        run_at = unit_at = len(sizes)
+        run_at = unit_at = len(t.sizes)
         held = False
 
     for m in _TOKEN.finditer(plain):
         stop, link, cjk, word = m.groups()
-        if stop or not pieces or _PIECE.search(plain, last, m.start()):
-            pieces.append((len(sizes), []))
+        if stop or not t.pieces or _PIECE.search(plain, last, m.start()):
+            t.pieces.append((len(t.sizes), []))
         last = m.end()
         if stop:
             end_unit()
             continue
+        while m.start() >= span[1]:
+            span = next(spans)
+        sentence = m.start() >= span[0]
+        low = ""
         if link:
             size, weight, holds = float(link), LINK_WORDS, False
-            link_chars += size
-            counts["\x00link"] += 1
+            t.link_chars += size
+            t.counts["\x00link"] += 1
         elif cjk:
-            bare = cjk
-            for k in KANA_KEYWORDS:
-                bare = bare.replace(k, "")
             size, weight = float(len(cjk)), max(1.0, len(cjk) * KANJI_WORDS)
-            holds = len(cjk) >= SENTENCE_CHARS and len(_KANA.findall(bare)) >= 0.3 * len(cjk) and _KANA_GLUE.search(bare) is not None
-            kana_glue += holds
-            counts[cjk] += 1
+            holds = len(cjk) >= SENTENCE_CHARS and len(_KANA.findall(cjk)) >= 0.3 * len(cjk) and _KANA_GLUE.search(cjk) is not None
+            t.kana += holds
+            t.counts[cjk] += 1
         else:
             low = word.lower()
             size, weight = float(len(word)), 1.0
             holds = low in _ALL
-            if holds:
-                for lang, words in _SETS.items():
-                    by[lang] += low in words
-            counts[low] += 1
-        n += 1
-        chars += size
-        pieces[-1][1].append(low if word else "\x00")
-        if holds:
-            glue += 1
+            t.counts[low] += 1
+        t.glue += holds or sentence and len(low or cjk or "") <= SHORT
+        t.pieces[-1][1].append(low if word else "\x00")
+        if holds or sentence:
             if not held:
                 end_past()
             held = True  # from here on the unit counts as a sentence, the run so far too
             end_run()
-            run_at = len(sizes) + 1
+            run_at = len(t.sizes) + 1
         else:
             run_w, unit_w = run_w + weight, unit_w + weight
-        sizes.append(size)
-        dense.append(False)
+        t.sizes.append(size)
+        t.dense.append(False)
     end_unit()
     end_past()
-    for a, b in _phrases(pieces):
-        dense[a:b] = [True] * (b - a)
-    dense_chars = sum(c for c, d in zip(sizes, dense) if d)
+    return t
+
+
+def describe(text: str) -> tuple[str, float, list[float]]:
+    """(language by function words or '', characters, FEATURES) of one text."""
+    plain = text.replace("\x00", " ")
+    links = 0
+    if "/" in plain or "www." in plain.lower():
+        plain, links = _LINK.subn(lambda m: f" \x00L{len(m.group())}\x00 ", plain)
+    if "<" in plain:
+        plain = _TAG.sub(lambda m: " " + " ".join(_LINK_MARK.findall(m.group())) + " ", plain)
+    t = _scanned(plain) if links or _CJK.search(plain) else _words_only(plain)
+    n = len(t.sizes)
     if not n:
         return "", float(len(text)), [0.0, 0.0, 1.0, 0.0, 0.0, 0.0]
-    freq = np.fromiter(counts.values(), float) / n
+    if any(t.dense) and (spans := _foreign(plain)):
+        t = _scanned(plain, spans)
+    for a, b in _phrases(t.pieces):
+        t.mark(a, b)
+    chars = float(sum(t.sizes))
+    dense_chars = sum(c for c, d in zip(t.sizes, t.dense) if d) if any(t.dense) else 0.0
+    freq = np.fromiter(t.counts.values(), float) / n
     entropy = float(-(freq * np.log(freq)).sum() / math.log(n)) if n > 1 else 1.0
-    top = sum(c for w, c in counts.most_common(8) if w not in _ALL and c > 1) / n
-    lang = "ja" if kana_glue else max(by, key=by.get) if max(by.values()) >= 2 else ""
-    return lang, float(len(text)), [
-        dense_chars / chars, glue / n, entropy, top, len(_MARK.findall(text)) / len(text), link_chars / chars,
-    ]
+    top = sum(c for w, c in t.counts.most_common(8) if w not in _ALL and c > 1) / n
+    by = {lang: sum(c for w, c in t.counts.items() if w in words) for lang, words in _SETS.items()} if t.glue > 1 else {"": 0}
+    lang = "ja" if t.kana else max(by, key=by.get) if max(by.values()) >= 2 else ""
+    return lang, float(len(text)), [dense_chars / chars, t.glue / n, entropy, top, len(_MARK.findall(text)) / len(text), t.link_chars / chars]
 
 
 def _phrases(pieces: list[tuple[int, list[str]]]) -> list[tuple[int, int]]:
@@ -211,14 +290,14 @@ def _phrases(pieces: list[tuple[int, list[str]]]) -> list[tuple[int, int]]:
 
 def text_features(df: DataFrame, id: str, text: str, lang: str | None = None) -> DataFrame:
     """``id, lang, sure, chars, FEATURES...``; whole texts. The language is told
-    by the text's function words (``sure``), else by the first two letters of
-    ``lang``, else it is ``und``."""
+    by the text's function words, else by the first two letters of ``lang``, else
+    it is ``und``. ``sure``: it is told so, and keywords are no more than NORMAL of the text."""
 
     def run(frames):
         for pdf in frames:
             got = [describe(t) for t in pdf["t"]]
             told = [g[0] or (s or "und")[:2].lower() for g, s in zip(got, pdf["l"])]
-            out = pd.DataFrame({"id": pdf["id"], "lang": told, "sure": [g[0] != "" for g in got], "chars": [g[1] for g in got]})
+            out = pd.DataFrame({"id": pdf["id"], "lang": told, "sure": [g[0] != "" and g[2][0] <= NORMAL for g in got], "chars": [g[1] for g in got]})
             for i, f in enumerate(FEATURES):
                 out[f] = [g[2][i] for g in got]
             yield out
@@ -231,37 +310,50 @@ def text_features(df: DataFrame, id: str, text: str, lang: str | None = None) ->
     return rows.mapInPandas(run, schema)
 
 
+def _leaning(n: float, centre, cov, to: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and scatter of n rows, drawn to others as if these were PRIOR_ROWS rows."""
+    w = n / (n + PRIOR_ROWS)
+    gap = centre - to[0]
+    return w * centre + (1 - w) * to[0], w * cov + (1 - w) * to[1] + w * (1 - w) * np.outer(gap, gap)
+
+
 def _estimates(features: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Per language, and for all texts under '': centre and inverse scatter, of
-    the texts whose own words tell their language. Others may be nothing but
-    keywords, at any size of the table, and make no norm."""
-    features = features.filter("sure")
-    langs = features.groupBy("lang").count().filter(F.col("count") >= LEAST_ROWS).select("lang")
-    known = [r[0] for r in langs.orderBy("lang").limit(1000).collect()]
-    home = F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit("")) if known else F.lit("")
-    both = features.withColumn("home", F.explode(F.array_distinct(F.array(home, F.lit("")))))
-    mid = both.groupBy("home").agg(*[F.percentile_approx(f, 0.5, 10_000).alias(f"{f}_m") for f in FEATURES])
-    off = both.join(F.broadcast(mid.limit(1001)), "home")
-    spread = off.groupBy("home").agg(
+    """Per language that texts show by their own words, and for all others under
+    '': centre and inverse scatter of these texts. Others, and those that are
+    mostly keywords, make no norm, however many of the table they are. There are as
+    many such languages as lists of function words."""
+    sure = features.filter("sure")
+    mid = sure.groupBy("lang").agg(*[F.percentile_approx(f, 0.5, 10_000).alias(f"{f}_m") for f in FEATURES])
+    off = sure.join(F.broadcast(mid), "lang")
+    spread = off.groupBy("lang").agg(
         *[F.percentile_approx(F.abs(F.col(f) - F.col(f"{f}_m")), 0.5, 10_000).alias(f"{f}_s") for f in FEATURES]
     )
     near = F.lit(True)
     for f in FEATURES:
         near &= F.abs(F.col(f) - F.col(f"{f}_m")) <= 5 * 1.4826 * F.greatest(F.col(f"{f}_s"), F.lit(LEAST_SCALE))
-    core = off.join(F.broadcast(spread.limit(1001)), "home").filter(near)
+    core = off.join(F.broadcast(spread), "lang").filter(near)
     pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
-    sums = core.groupBy("home").agg(
+    sums = core.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"),
         *[F.avg(f).alias(f"a{i}") for i, f in enumerate(FEATURES)],
         *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}_{j}") for i, j in pairs],
     )
-    out = {"": (np.array(REST[0]), np.diag(1 / np.square(REST[1])))}
-    for r in sums.collect():  # a row per language
+    own = {}
+    for r in sums.collect():  # a row per list of function words
         cov = np.zeros((len(FEATURES), len(FEATURES)))
         for i, j in pairs:
             cov[i, j] = cov[j, i] = r[f"c{i}_{j}"]
-        cov += LEAST_SCALE**2 * np.eye(len(cov))
-        out[r["home"]] = (np.array([r[f"a{i}"] for i in range(len(FEATURES))]), np.linalg.inv(cov))
-    return out
+        own[r["lang"]] = (r["n"], np.array([r[f"a{i}"] for i in range(len(FEATURES))]), cov)
+    total = sum(n for n, *_ in own.values())
+    rest = np.array(REST[0]), np.diag(np.square(REST[1]))
+    pool = rest
+    if total:
+        centre = sum(n * c for n, c, _ in own.values()) / total
+        cov = sum(n * (v + np.outer(c - centre, c - centre)) for n, c, v in own.values()) / total
+        pool = _leaning(total, centre, cov, rest)
+    ease = np.diag(np.square(EASE))
+    made = {"": pool} | {lang: _leaning(n, c, v, pool) for lang, (n, c, v) in own.items()}
+    return {lang: (c, np.linalg.inv(v + ease)) for lang, (c, v) in made.items()}
 
 
 def stuffed(df: DataFrame, id: str, text: str, lang: str | None = None) -> DataFrame:
@@ -269,7 +361,7 @@ def stuffed(df: DataFrame, id: str, text: str, lang: str | None = None) -> DataF
     row with a text. ``distance``: squared Mahalanobis distance from the
     language's centre; ``towards``: the deviation's share in the direction of
     spam, -1 to 1; flagged when the distance exceeds CUT and ``towards`` is
-    above 0.3. Empty texts lie at rest and are never flagged. Repeated rows
+    above DIRECTION. Empty texts lie at rest and are never flagged. Repeated rows
     count each. Null texts are left out. Empty input: no rows.
     """
     features = materialize(text_features(df, id, text, lang))
@@ -289,7 +381,7 @@ def stuffed(df: DataFrame, id: str, text: str, lang: str | None = None) -> DataF
                 scale = 1 / np.sqrt(np.diag(np.linalg.inv(inverse)))
                 z = d * scale
                 share[at] = (z @ towards) / np.maximum(1e-9, np.abs(z).sum(1))
-            yield pdf.drop(columns="sure").assign(distance=distance, towards=share, flagged=(distance > CUT) & (share > 0.3) & (pdf["chars"].to_numpy() > 0))
+            yield pdf.drop(columns="sure").assign(distance=distance, towards=share, flagged=(distance > CUT) & (share > DIRECTION) & (pdf["chars"].to_numpy() > 0))
 
     schema = ", ".join(f"{n} {t}" for n, t in features.dtypes if n != "sure") + ", distance double, towards double, flagged boolean"
     return features.mapInPandas(judge, schema)

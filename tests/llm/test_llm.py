@@ -419,6 +419,49 @@ def test_search_phrases_with_function_words():
         assert describe(text)[2][0] == 0.0
 
 
+FOREIGN_REVIEWS = [
+    "Ik heb deze lamp gekocht voor de keuken en hij werkt prima. De kleur is mooi en het licht is warm. Ik zou hem zo weer kopen.",
+    "To jest bardzo dobra lampa do kuchni. Kupiłem ją dla siostry i jest zadowolona. Nie mam żadnych zastrzeżeń, polecam każdemu.",
+    "Questa lampada funziona bene e mi piace molto. Comprata per la cucina di mia madre, arrivata dopo due giorni. La consiglio a tutti.",
+    "这盏灯非常好，我很喜欢。质量也不错，价格便宜，送货也很快。包装完整没有损坏。客服态度热情，有问必答。下次还会再买，推荐给大家。放在卧室里看书非常合适，光线柔和不刺眼，孩子写作业时也愿意使用，家里老人都说好用。",
+]
+
+
+def test_reviews_in_other_languages_are_not_stuffed_but_keywords_are(spark):
+    rng = random.Random(5)
+    good = [(i, f"The lamp was {rng.choice(['fine', 'blue', 'loud'])} and it stood in the kitchen for {rng.randrange(90)} days. My sister was happy with it.", "en") for i in range(100)]
+    foreign = [(1000 + i, t, lang) for i, t in enumerate(FOREIGN_REVIEWS) for lang in (None,)] + [(1100 + i, t, "xx") for i, t in enumerate(FOREIGN_REVIEWS)]
+    walls = ["goedkoop matras aanbieding korting lamp bestellen ", "tania lampa promocja sklep rabat wysyłka ", "lampada sconto offerta negozio spedizione gratis ", "便宜台灯 促销 特价 "]
+    bad = [(2000 + i, w * 6, None) for i, w in enumerate(walls)] + [(2100 + i, (w.strip().capitalize() + ". ") * 6, None) for i, w in enumerate(walls[:3])]
+    df = spark.createDataFrame(good + foreign + bad, "doc_id bigint, text string, lang string")
+    assert {r.id for r in stuffed(df, "doc_id", "text", "lang").filter("flagged").collect()} == {i for i, *_ in bad}
+    alone = spark.createDataFrame(foreign + bad, "doc_id bigint, text string, lang string")  # no text makes a norm
+    assert {r.id for r in stuffed(alone, "doc_id", "text", "lang").filter("flagged").collect()} == {i for i, *_ in bad}
+
+
+def test_the_distance_decides(spark):
+    """The farther, the more keywords; the cut lies where they are about half of the text."""
+    sentence = "The lamp was fine and it stood in the kitchen for days. "
+    texts = [sentence * 3 + " ".join(["cheap lamp sale shop deal"] * k) for k in range(0, 40, 2)]
+    rows = {r.id: r for r in stuffed(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string"), "doc_id", "text", "lang").collect()}
+    flags = [rows[i].flagged for i in range(len(texts))]
+    assert flags == sorted(flags) and not flags[0] and flags[-1]
+    assert all(r.flagged == (r.distance > 30 and r.towards > 0.3) for r in rows.values())
+    assert all(r.flagged == (r.dense > 0.5) for r in rows.values() if not 0.45 < r.dense < 0.55)
+
+
+def test_plain_texts_are_described_as_by_the_scan():
+    from sluice.llm.spam import _scanned, _words_only
+
+    rng = random.Random(6)
+    bits = ["the", "and", "lamp", "kettle", "air mattress", "für", "ist", "de", "la", ". ", "! ", "\n", ", ", " | ", " - ", "; ", "?) ", "ß", "42", "x_y", "...", "#tag"]
+    for _ in range(400):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randrange(1, 120)))
+        a, b = _words_only(text), _scanned(text)
+        assert (a.sizes, a.dense, a.glue, a.counts) == (b.sizes, b.dense, b.glue, b.counts)
+        assert [p for p in a.pieces if p[1]] == [p for p in b.pieces if p[1]]
+
+
 # --- queries ------------------------------------------------------------------------------
 
 
