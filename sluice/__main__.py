@@ -4,6 +4,7 @@ statements from the terminal. A failed program ends with status 1."""
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from sluice.lang.parser import SyntaxFault, parse
@@ -30,13 +31,24 @@ def repl(run: Interpreter, lines, out=sys.stdout) -> None:
                 parse(held)
                 got = run.run(held)
                 if got is not None:
-                    print(run.printed(got), file=out)
+                    run.show(got, out)
             except (SyntaxFault, PipeError) as bad:
                 print(f"error: {bad}", file=out)
         held = ""
 
 
+def read_variables(path: str = ".env") -> None:
+    """Environment variables from lines KEY=VALUE; those already set stay."""
+    if os.path.isfile(path):
+        with open(path) as src:
+            for line in src:
+                key, eq, value = line.strip().partition("=")
+                if eq and key and not key.startswith("#"):
+                    os.environ.setdefault(key.removeprefix("export ").strip(), value.strip().strip("\"'"))
+
+
 def main(argv=None) -> int:
+    read_variables()
     args = argparse.ArgumentParser(prog="sluice")
     args.add_argument("file", nargs="?")
     args.add_argument("--cache")

@@ -6,7 +6,6 @@ reject (a negative root, an empty list's mean) becomes a row error.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -199,14 +198,12 @@ def code(v):
     return Val(F.ascii(x).cast("bigint"), LONG, errs(e, when_err(F.char_length(x) != 1, "ord needs one character")))
 
 
-@F.pandas_udf(STRING)
-def _char(x: pd.Series) -> pd.Series:
-    return x.map(lambda c: chr(int(c)) if pd.notna(c) and 0 <= c < 0x110000 else None)
-
-
 def char(v):
+    """The character of a code point; halves of surrogate pairs are none."""
     x, e = _real(v, "char")
-    return Val(_char(number(v)), STRING, errs(e, when_err((x < 0) | (x >= 0x110000), "no such character")))
+    none = (x < 0) | (x >= 0x110000) | ((x >= 0xD800) & (x < 0xE000))
+    code = F.when(~none, number(v).cast("bigint"))
+    return Val(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"), STRING, errs(e, when_err(none, "no such character")))
 
 
 def chars(v):

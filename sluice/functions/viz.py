@@ -54,8 +54,8 @@ def points(f: Frame, columns: list[str]) -> list[dict]:
     return [r.asDict() for r in rows.collect()]
 
 
-def series(f: Frame, x: str, y: str) -> list[dict]:
-    return sorted(points(f, [x, y]), key=lambda r: (r[x] is None, r[x]))
+def series(f: Frame, x: str, y: str, *more: str) -> list[dict]:
+    return sorted(points(f, [x, y, *more]), key=lambda r: (r[x] is None, r[x]))
 
 
 def draw(kind: str, data, path: str | None, **settings):
@@ -67,15 +67,35 @@ def draw(kind: str, data, path: str | None, **settings):
         import matplotlib.pyplot as plt
     except ImportError:
         return {"kind": kind, "data": data, "settings": settings, "path": None}
-    fig, ax = plt.subplots()
+    size, display = settings.get("size"), settings.get("display") or {}
+    display = display if isinstance(display, dict) else dict.fromkeys(display, True)
+    fig, ax = plt.subplots(figsize=tuple(size) if isinstance(size, list) and len(size) == 2 else None)
     if kind == "histogram":
         ax.bar([b["low"] for b in data], [b["n"] for b in data], width=[b["high"] - b["low"] for b in data], align="edge")
     elif kind == "heatmap":
         names = list(data)
         ax.imshow([[data[a][b] for b in names] for a in names])
     else:
-        xs, ys = settings["x"], settings["y"]
-        (ax.scatter if kind == "scatter" else ax.plot)([r[xs] for r in data], [r[ys] for r in data])
+        xs, ys, color, dots = settings["x"], settings["y"], settings.get("color"), display.get("dotsize")
+        for value in sorted({r[color] for r in data}, key=str) if color else [None]:
+            own = [r for r in data if not color or r[color] == value]
+            s = [r[dots] for r in own] if isinstance(dots, str) else dots
+            if kind == "scatter" or dots is not None:
+                ax.scatter([r[xs] for r in own], [r[ys] for r in own], s=s, alpha=0.7, label=str(value) if color else None)
+            if kind != "scatter":
+                ax.plot([r[xs] for r in own], [r[ys] for r in own], label=str(value) if color and dots is None else None)
+        label = display.get("label") if isinstance(display.get("label"), str) else settings.get("label") if display.get("label") else None
+        for r in data if label else []:
+            if r[label] is not None and r[label] == r[label]:
+                ax.annotate(str(r[label]), (r[xs], r[ys]), textcoords="offset points", xytext=(5, 5), fontsize=8)
+        if display.get("axes"):
+            ax.set_xlabel(xs)
+            ax.set_ylabel(ys)
+        if color and display.get("legend"):
+            ax.legend()
+    title = display.get("title") if isinstance(display.get("title"), str) else settings.get("title")
+    if title:
+        ax.set_title(title)
     if path:
         fig.savefig(path)
     plt.close(fig)
@@ -84,7 +104,7 @@ def draw(kind: str, data, path: str | None, **settings):
 
 def step(kind: str, f: Frame, named: dict):
     """The artifact of a viz step."""
-    path = named.pop("path", None)
+    path = named.pop("file", None) or named.pop("path", None)
     if kind == "histogram":
         data = histogram(f, named.get("x") or named.get("on"), int(named.get("bins", 10)))
     elif kind == "heatmap":
@@ -93,8 +113,10 @@ def step(kind: str, f: Frame, named: dict):
         need = [named[k] for k in ("x", "y") if k in named]
         if len(need) != 2:
             raise PipeError(f"viz.{kind} needs x and y")
-        extra = [named[k] for k in ("color", "size") if k in named]
-        data = points(f, [*need, *extra]) if kind == "scatter" else series(f, *need)
+        display = named.get("display") if isinstance(named.get("display"), dict) else {}
+        more = [named.get("color"), named.get("label"), display.get("label"), display.get("dotsize")]
+        extra = [c for c in dict.fromkeys(more) if isinstance(c, str) and c in f.columns and c not in need]
+        data = points(f, [*need, *extra]) if kind == "scatter" else series(f, *need, *extra)
     elif kind == "grid":
         numeric = [n for n, k in f.kinds().items() if isinstance(k, (*V.INTS, *V.REALS)) and not isinstance(k, T.BooleanType)]
         return {"kind": "grid", "data": {n: histogram(f, n) for n in numeric}, "settings": named, "path": None}

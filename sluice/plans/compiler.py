@@ -371,7 +371,13 @@ def _invoke(n, s, first: Val | None = None) -> Val:
     if title is not None and title not in s.local:
         fn = s.env.resolve(title)
     if isinstance(fn, Closure):
-        return _inline(fn, [*given, *[_argument(a, s) for a in n.args]], s)
+        args = [*given, *[_argument(a, s) for a in n.args]]
+        try:
+            return _inline(fn, args, s)
+        except Recursion:
+            if s.depth or not all(isinstance(a, Val) for a in args):
+                raise
+            return row_call(per_row(fn, args), args, s)
     if isinstance(fn, RowFunction):
         return row_call(fn, [*given, *[compile_node(a, s) for a in n.args], *[compile_node(v, s) for v in named.values()]], s)
     lib, _, short = (title or "").partition(".")
@@ -447,6 +453,21 @@ class Recursion(PipeError):
     pass
 
 
+def per_row(fn: Closure, args: list[Val]) -> RowFunction:
+    """A recursive function as a Python function of one row's values, run by the
+    driver's evaluator in the tasks. Its type is that of its value for simple arguments."""
+    from sluice.plans.interpreter import alone
+
+    call = alone(fn)
+    simple = {T.LongType: 1, T.IntegerType: 1, T.DoubleType: 1.0, T.StringType: "a", T.BooleanType: True}
+    try:
+        sample = call(*[simple.get(type(a.kind), []) for a in args])
+        kind = V.literal(sample).kind
+    except Exception:  # no such arguments: told by nothing
+        kind = V.STRING
+    return RowFunction(call, kind)
+
+
 def row_call(fn: RowFunction, args: list[Val], s: Scope) -> Val:
     """A Python function per row, in Arrow batches, with retries and a thread
     pool where the step asks for them. A failure becomes the row's error."""
@@ -709,11 +730,20 @@ def _window(title, n, named, s: Scope) -> Val | None:
     made = {
         "mean": F.avg(x), "sum": F.sum(real), "min": F.min(real), "max": F.max(real), "count": F.count(x),
         "std": F.stddev_samp(real), "var": F.var_samp(real), "median": F.percentile(real, F.lit(0.5)),
+        "first": F.first(real, ignorenulls=True), "last": F.last(real, ignorenulls=True),
     }.get(how)
-    if made is None:
+    n = F.count(x).over(w).cast("double")
+    # the sample's moments of a window from those of its values alone
+    more = {
+        "sem": lambda: F.stddev_samp(real).over(w) / F.sqrt(n),
+        "skew": lambda: F.when(n > 2, F.skewness(real).over(w) * F.sqrt(n * (n - 1)) / (n - 2)),
+        "kurt": lambda: F.when(n > 3, ((n + 1) * F.kurtosis(real).over(w) + 6) * (n - 1) / ((n - 2) * (n - 3))),
+        "nunique": lambda: F.size(F.collect_set(real).over(w)),  # bounded by the window
+    }
+    if made is None and how not in more:
         raise PipeError(f"rolling knows no {how}")
     seen = F.count(F.lit(1)) if how == "count" else F.count(x)
-    got = F.when(seen.over(w) >= size, made.over(w).cast("double"))
+    got = F.when(seen.over(w) >= size, (made.over(w) if made is not None else more[how]()).cast("double"))
     for k in by:
         got = F.when(F.col(f"`{k}`").isNotNull(), got)
     return Val(got, V.DOUBLE)

@@ -104,8 +104,9 @@ class Frame:
     # -- positions --
     def indexed(self, name: str) -> Frame:
         """Adds ``name``, each row's place from 0. Without groups the rows are
-        range-partitioned by their order, numbered inside the partitions and
-        shifted by the sizes of the partitions before, so no task gets all."""
+        range-partitioned and sorted by their order, numbered as they are written
+        and shifted by the sizes of the partitions before: one shuffle, and no
+        task gets all."""
         f = self.sequenced()
         if f.within:
             w = Window.partitionBy(*f.within).orderBy(*f.order_cols())
@@ -114,15 +115,15 @@ class Frame:
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    part, local, base = f"{HIDDEN}part", f"{HIDDEN}local", f"{HIDDEN}base"
-    spread = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order)
-    laid = materialize(spread.withColumn(part, F.spark_partition_id()))
-    inside = Window.partitionBy(part).orderBy(*order)
+    part, base = f"{HIDDEN}part", f"{HIDDEN}base"
+    sorted_ = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    # the number holds the partition above 33 bits and the place in it below
+    laid = materialize(sorted_.withColumn(name, F.monotonically_increasing_id())).withColumn(part, F.shiftright(name, 33))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     sizes = laid.groupBy(part).count()  # one row per partition
     bases = sizes.select(part, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))
-    placed = laid.withColumn(local, F.row_number().over(inside) - 1).join(F.broadcast(bases), part)
-    return placed.withColumn(name, (F.col(local) + F.col(base)).cast("bigint")).drop(part, local, base)
+    placed = laid.join(F.broadcast(bases), part)
+    return placed.withColumn(name, F.col(name).bitwiseAND(F.lit((1 << 33) - 1)) + F.col(base)).drop(part, base)
 
 
 def ranked(df: DataFrame, value: str, descending: bool, name: str) -> DataFrame:

@@ -22,11 +22,10 @@ from sluice.plans import steps as S
 from sluice.plans.cache import Store
 from sluice.plans.frame import HIDDEN, Err, Frame, Ok, as_frame
 from sluice.plans.values import PipeError
+from sluice.runtime import materialize
 from sluice.sources import io
 
 LIBRARIES = ("math", "text", "ml", "viz", "env")
-GROUPS = 1_000  # groups that each may run one after another on the driver
-SHOWN = 100  # rows that print shows
 
 
 class Library:
@@ -332,13 +331,26 @@ class Interpreter:
             call = s.call if isinstance(s.call, ast.Call) else ast.Call(s.call)
             title = C.dotted(call.fn) or "step"
             try:
-                value = self.step(title, call, value, env, s.notes)
+                before, value = value, self.step(title, call, value, env, s.notes)
                 if not self.quiet and not s.quiet and isinstance(value, Frame):
-                    print(f"|> {title:<12} {len(value.columns)} cols", file=sys.stderr)
+                    print(self.summary(title, before, value), file=sys.stderr)
             except (PipeError, SyntaxFault, PySparkException, ValueError, TypeError, KeyError, ArithmeticError, IndexError, OSError) as bad:
                 return Err(f"{title}: {message(bad)}", bad)
         return value
 
+    def summary(self, title, before, after) -> str:
+        """One line on a step, from its schema and the cache alone: counting rows
+        would be a job of its own, which @progress asks for."""
+        text = f"|> {title:<12} {len(after.columns)} cols"
+        if isinstance(before, Frame):
+            fresh, gone = ([c for c in x.columns if c not in y.columns] for x, y in ((after, before), (before, after)))
+            text += "".join(f" +{c}" for c in fresh) + "".join(f" -{c}" for c in gone)
+            if after.errors is not before.errors:
+                text += " (errors kept apart)"
+        if self.store is not None and self.store.hits:
+            text += f" [{self.store.hits} cached]"
+        return text
+
     def step(self, title, call, value, env, notes):
         names = {n for n, _, _ in notes}
         if "progress" in names:  # asked for: one count when the step's rows are there
@@ -414,19 +426,21 @@ class Interpreter:
             io.save(f, self.value(args[0], env), **{k: self.value(v, env) for k, v in call.named})
             return value
         if title == "print":
-            D.echo(self.printed(value), self.out)
+            self.show(value)
             return value
         if title == "halt":
             D.echo(D.shown(value) if value is not None else "halted", sys.stderr)
             sys.exit(1)
         return self.plain_step(title, value, call, env)
 
-    def printed(self, value):
+    def show(self, value, out=None):
+        """Print a value; of a table all rows in order, a partition at a time."""
+        out = out or self.out
         if isinstance(value, (Frame, DataFrame)):
-            f = as_frame(self.spark, value)
-            rows = [r.asDict(recursive=True) for r in f.visible().limit(SHOWN + 1).collect()]
-            return "\n".join(D.shown(r) for r in rows[:SHOWN]) + ("\n..." if len(rows) > SHOWN else "")
-        return D.shown(value)
+            for r in as_frame(self.spark, value).visible().toLocalIterator():
+                D.echo(D.shown(r.asDict(recursive=True)), out)
+        else:
+            D.echo(D.shown(value), out)
 
     # -- driver lists --
     def plain_step(self, title, value, call, env):
@@ -466,7 +480,7 @@ class Interpreter:
                 acc = self.apply(args[2], [acc, x], {}, env)
             return acc
         if name == "print":
-            D.echo(self.printed(args[0]), self.out)
+            self.show(args[0])
             return args[0]
         if name not in D.CORE:
             raise PipeError(f"undefined name: {name}")
@@ -559,16 +573,13 @@ class Interpreter:
 
     def each_driven(self, f, by, body, env):
         """Steps that can't be pushed down (models, side effects): one group
-        after another, at most GROUPS of them."""
+        after another, as each may run jobs of its own."""
         f = f.kept()
         first = F.min(f.order[0][0]) if f.order and f.order[0][1] else F.max(f.order[0][0]) if f.order else F.lit(0)
         counted = f.data.groupBy(*[F.col(f"`{k}`") for k in by]).agg(first.alias(f"{HIDDEN}first"))
         turn = F.col(f"{HIDDEN}first").asc() if not f.order or f.order[0][1] else F.col(f"{HIDDEN}first").desc()
-        groups = [tuple(r)[:-1] for r in counted.orderBy(turn, *by).limit(GROUPS + 1).collect()]
-        if len(groups) > GROUPS:
-            raise PipeError(f"each: this sub-pipe runs on the driver, for at most {GROUPS} groups")
         tables, artifacts = [], {}
-        for r in groups:
+        for r in (tuple(g)[:-1] for g in materialize(counted).orderBy(turn, *by).toLocalIterator()):
             part = f.data
             for k, v in zip(by, r):
                 part = part.filter(F.col(f"`{k}`").eqNullSafe(F.lit(v)))
@@ -599,7 +610,8 @@ class Interpreter:
 
 #: Steps that each can run for all groups at once.
 PUSHED = {
-    "filter", "add", "select", "drop", "rename", "sort", "take", "unique", "cross", "flatten", "collapse", "first", "last", "map", "join",
+    "filter", "add", "select", "drop", "rename", "sort", "take", "unique", "cross", "flatten", "collapse", "first", "last", "map", "mapi",
+    "slice", "join",
 }
 
 
@@ -637,6 +649,53 @@ def python_module(path: Path) -> dict:
     return out
 
 
+def alone(fn: C.Closure):
+    """A function of the language as a Python function that tasks can run: with
+    the functions and plain values it names, and without the session."""
+    seen: dict[int, str] = {}
+    held: dict[str, tuple] = {}
+
+    def keep(closure, name):
+        seen[id(closure)] = name
+        values = {}
+        for free in sorted(ast.free_names(closure.body) - set(closure.params)):
+            env = closure.env.env if isinstance(closure.env, C.Scope) else closure.env
+            try:
+                value = env.get(free)
+            except KeyError:
+                continue
+            if isinstance(value, C.Closure):
+                if id(value) not in seen:
+                    keep(value, f"{free}{len(seen)}")
+                values[free] = ("fn", seen[id(value)])
+            elif isinstance(value, Library):
+                values[free] = ("library", value.name)
+            elif isinstance(value, (C.RowFunction, Frame, DataFrame, Module)):
+                if isinstance(value, C.RowFunction):
+                    values[free] = ("value", value.fn)
+            else:
+                values[free] = ("value", value)
+        held[name] = (closure.params, closure.body, values, closure.name)
+
+    keep(fn, "0")
+    made: dict[str, C.Closure] = {}
+
+    def call(*args):
+        run = Interpreter(None, LIBRARIES)
+        if not made:
+            for name, (params, body, _, title) in held.items():
+                made[name] = C.Closure(params, body, None, title)
+            for name, (_, _, values, _) in held.items():
+                bound = {k: made[v] if kind == "fn" else Library(v) if kind == "library" else v for k, (kind, v) in values.items()}
+                made[name].env = run.globals.child(bound)
+        got = run.apply(made["0"], list(args), {}, run.globals)
+        if isinstance(got, Err):
+            raise PipeError(got.msg)
+        return got.value if isinstance(got, Ok) else got
+
+    return call
+
+
 class TableFunction:
     """DataFrame in, DataFrame out."""
 

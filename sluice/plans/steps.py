@@ -16,6 +16,7 @@ from sluice.plans.values import PipeError
 from sluice.runtime import materialize
 
 LOOKUP = f"{HIDDEN}find"
+CROSSED = 10_000  # rows of a table of values
 
 
 def _q(name: str):
@@ -325,8 +326,11 @@ def cross(f, call, env, notes):
     name, values = env.evaluate(call.args[0]), env.evaluate(call.args[1])
     f = f.kept()
     pos = f.fresh("x")
-    if isinstance(values, Frame):
-        raise PipeError("cross takes a list of values; join tables with join")
+    if isinstance(values, Frame):  # values are settings of the step: their rows, as objects
+        got = values.visible().limit(CROSSED + 1).collect()
+        if len(got) > CROSSED:
+            raise PipeError(f"cross takes at most {CROSSED} values; join tables with join")
+        values = [r.asDict(recursive=True) for r in got]
     lits = V.literal(list(values))
     data = f.data.select(*[_q(c) for c in f.columns if c != name], *[_q(c) for c in f.secret], F.posexplode(lits.col).alias(pos, f"{HIDDEN}v"))
     place = [c for c in f.columns if c != name] + [name] if name not in f.columns else f.columns
@@ -426,7 +430,7 @@ def collapse(f, call, env, notes):
         data = data.filter(_q(k).isNotNull())
         if isinstance(f.kinds()[k], V.REALS):
             data = data.filter(~F.isnan(_q(k).cast("double")))
-    base, vectors, g = {}, {}, f
+    base, vectors, tops, g = {}, {}, {}, f
     for name, node in named.items():
         column = C.column_of(node.args[0]) if isinstance(node, ast.Call) and node.args else None
         title = C.dotted(node.fn) if isinstance(node, ast.Call) else None
@@ -436,6 +440,8 @@ def collapse(f, call, env, notes):
             vectors[name] = (title, column)
         elif title in C.AGGREGATES:
             base[name] = C.aggregate(title, scope.row[column] if column else None).col
+        elif _is_function(node, env) and (best := _best_rows(node, f, env)) is not None:
+            tops[name] = best
         elif _is_function(node, env):
             if not g.order:
                 g = g.sequenced()
@@ -447,6 +453,8 @@ def collapse(f, call, env, notes):
     out = data.groupBy(*[_q(k) for k in keys]).agg(*aggs) if keys else data.agg(*aggs)
     for name, (title, column) in vectors.items():
         out = _vector(out, data, keys, name, title, column)
+    for name, (key, down, n) in tops.items():
+        out = _top_rows(out, data if f.order else _reorder(f.sequenced(), by, f), keys, f if f.order else f.sequenced(), name, key, down, n)
     wanted = [*by, *[n for n in call_order(call) if n in named]]
     order = []
     picked = [_q(c) for c in wanted]
@@ -489,6 +497,42 @@ def _vector(out, data, keys, name, title, column):
     return out.join(made, [out[k].eqNullSafe(made[f"_m_{k}"]) for k in keys], "left").drop(*[f"_m_{k}" for k in keys])
 
 
+def _steps_of(node, env) -> tuple[str, list] | None:
+    """(parameter, steps) of a function that pipes a group's rows, else None."""
+    fn = node if isinstance(node, ast.Lambda) else env.resolve(C.dotted(node))
+    body, param = fn.body, fn.params[0]
+    if isinstance(body, ast.Pipe) and isinstance(body.source, ast.Name) and body.source.name == param:
+        return param, [s.call if isinstance(s.call, ast.Call) else ast.Call(s.call) for s in body.steps]
+    return None
+
+
+def _best_rows(node, f: Frame, env) -> tuple[str, bool, int] | None:
+    """(key, descending, n) of ``rows |> sort(by: key) |> take(n)``, else None."""
+    got = _steps_of(node, env)
+    if got is None or [C.dotted(s.fn) for s in got[1]] != ["sort", "take"]:
+        return None
+    sort_, take_ = got[1]
+    named = dict(sort_.named)
+    key, n = env.evaluate(named.get("by") or sort_.args[0]), env.evaluate(take_.args[0])
+    if key not in f.columns or not isinstance(n, int) or n < 0:
+        return None
+    return key, "dir" in named and env.evaluate(named["dir"]) == "desc", n
+
+
+def _top_rows(out, data, keys, f: Frame, name, key, down, n):
+    """The first n rows of each group as a list; all others are dropped by a
+    limit within the window, so no list is longer than n."""
+    place = f"{HIDDEN}n"
+    w = Window.partitionBy(*[_q(k) for k in keys]).orderBy(_q(key).desc() if down else _q(key).asc(), *f.order_cols())
+    row = F.struct(*[_q(c).alias(c) for c in f.columns])
+    few = data.withColumn(place, F.row_number().over(w)).filter(F.col(place) <= n)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), row.alias("r")))), lambda x: x["r"]).alias(name)
+    if not keys:
+        return out.join(few.agg(listed)) if out.columns else few.agg(listed)
+    made = few.groupBy(*[_q(k).alias(f"_m_{k}") for k in keys]).agg(listed)
+    return out.join(made, [out[k].eqNullSafe(made[f"_m_{k}"]) for k in keys], "left").drop(*[f"_m_{k}" for k in keys])
+
+
 def _of_rows(node, f: Frame, env):
     """A function of a group's rows as an aggregate. The shapes that need only
     one row use max_by / min_by; others work on the group's sorted list of rows."""
