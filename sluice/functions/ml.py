@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 from typing import Callable
 
@@ -12,7 +11,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +19,7 @@ from pyspark.sql import types as T
 from sluice.plans import values as V
 from sluice.plans.frame import HIDDEN, Frame
 from sluice.plans.values import PipeError
-from sluice.runtime import materialize, parts_for, shuffle_partitions
+from sluice.runtime import Files, materialize, parts_for, shuffle_partitions
 
 FEATURES = f"{HIDDEN}features"
 BLOCK_NUMBERS = 1_000_000  # numbers of the rows in a block of the silhouette
@@ -56,7 +55,7 @@ def kmeans(f: Frame, k=3, on: str | None = None, out: str = "cluster", method: s
     """Labels in ``out``; ``k`` a number or a range, of which the best by
     silhouette or by the elbow of the cost is taken."""
     rows, _ = _vectors(f, on)
-    if model and os.path.exists(model):
+    if model and Files(f.data.sparkSession, model).exists(model):
         fitted = KMeansModel.load(model)
         best = fitted.summary.k if fitted.hasSummary else len(fitted.clusterCenters())
     else:
@@ -166,8 +165,9 @@ def silhouette(f: Frame, label: str = "cluster", on: str | None = None) -> float
     return _score(rows, f"{HIDDEN}label")
 
 
-def ols(f: Frame, on: str, out: str = "prediction") -> Frame:
-    """Least squares of ``on`` by all other numeric columns."""
+def ols(f: Frame, on: str, out: str = "prediction", model: str | None = None) -> Frame:
+    """Least squares of ``on`` by all other numeric columns; ``model`` names a
+    folder from which the fit is loaded if it is there, else where it is saved."""
     kinds = f.kinds()
     names = [n for n, k in kinds.items() if isinstance(k, (*V.INTS, *V.REALS)) and n != on]
     if on not in kinds or not names:
@@ -177,11 +177,22 @@ def ols(f: Frame, on: str, out: str = "prediction") -> Frame:
     ready = VectorAssembler(inputCols=[f"{HIDDEN}x{i}" for i in range(len(names))], outputCol=FEATURES).transform(
         rows.withColumns({f"{HIDDEN}x{i}": F.col(f"`{n}`").cast("double") for i, n in enumerate(names)} | {label: F.col(f"`{on}`").cast("double")})
     )
-    fitted = LinearRegression(solver="normal", regParam=0.0, featuresCol=FEATURES, labelCol=label, predictionCol=out).fit(ready)
+    if model and Files(f.data.sparkSession, model).exists(model):
+        fitted = LinearRegressionModel.load(model).setFeaturesCol(FEATURES).setPredictionCol(out)
+    else:
+        fitted = LinearRegression(solver="normal", regParam=0.0, featuresCol=FEATURES, labelCol=label, predictionCol=out).fit(ready)
+        if model:
+            fitted.write().overwrite().save(model)
     data = fitted.transform(ready.drop(*[c for c in [out, "residual"] if c in ready.columns and c != on]))
     data = data.withColumn("residual", F.col(label) - F.col(out)).drop(FEATURES, label, *[f"{HIDDEN}x{i}" for i in range(len(names))])
     coefficients = dict(zip(names, (float(c) for c in fitted.coefficients))) | {"intercept": float(fitted.intercept)}
-    return f.with_data(data).with_artifact("ols", {"model": fitted, "r2": float(fitted.summary.r2), "coefficients": coefficients})
+    return f.with_data(data).with_artifact("ols", {"model": fitted, "r2": _r2(fitted, ready, label, out), "coefficients": coefficients})
+
+
+def _r2(fitted, ready: DataFrame, label: str, out: str) -> float:
+    if fitted.hasSummary:
+        return float(fitted.summary.r2)
+    return float(fitted.evaluate(ready.drop(*[c for c in [out] if c in ready.columns])).r2)
 
 
 def umap(f: Frame, dims: int = 2, on: str | None = None, out="umap") -> Frame:

@@ -735,7 +735,7 @@ def _window(title, n, named, s: Scope) -> Val | None:
     n = F.count(x).over(w).cast("double")
     # the sample's moments of a window from those of its values alone
     more = {
-        "sem": lambda: F.stddev_samp(real).over(w) / F.sqrt(n),
+        "sem": lambda: F.stddev_samp(real).over(w) / F.sqrt(n - 1),  # so in the windows of the documented functions
         "skew": lambda: F.when(n > 2, F.skewness(real).over(w) * F.sqrt(n * (n - 1)) / (n - 2)),
         "kurt": lambda: F.when(n > 3, ((n + 1) * F.kurtosis(real).over(w) + 6) * (n - 1) / ((n - 2) * (n - 3))),
         "nunique": lambda: F.size(F.collect_set(real).over(w)),  # bounded by the window

@@ -342,10 +342,10 @@ class Interpreter:
         """One line on a step, from its schema and the cache alone: counting rows
         would be a job of its own, which @progress asks for."""
         text = f"|> {title:<12} {len(after.columns)} cols"
-        if isinstance(before, Frame):
-            fresh, gone = ([c for c in x.columns if c not in y.columns] for x, y in ((after, before), (before, after)))
-            text += "".join(f" +{c}" for c in fresh) + "".join(f" -{c}" for c in gone)
-            if after.errors is not before.errors:
+        known = before.columns if isinstance(before, Frame) else list(before[0]) if isinstance(before, list) and before and isinstance(before[0], dict) else None
+        if known is not None:
+            text += "".join(f" +{c}" for c in after.columns if c not in known) + "".join(f" -{c}" for c in known if c not in after.columns)
+            if after.errors is not getattr(before, "errors", None):
                 text += " (errors kept apart)"
         if self.store is not None and self.store.hits:
             text += f" [{self.store.hits} cached]"
@@ -365,7 +365,7 @@ class Interpreter:
             value = as_frame(self.spark, value)
         if self.store is not None and isinstance(value, Frame):
             if "cache" in names:
-                key = self.store.step_key(call, notes, value)
+                key = self.store.step_key(call, notes, value, env)
                 got = self.store.load_step(key, value)
                 if got is not None:
                     self.store.hits += 1
@@ -376,7 +376,7 @@ class Interpreter:
                     got = self.store.save_step(key, got)
                 return got
             if "row_cache" in names:
-                got, run, cached = self.store.rows(call, value, lambda f: self.step_call(title, call, f, env, notes))
+                got, run, cached = self.store.rows(call, value, lambda f: self.step_call(title, call, f, env, notes), env)
                 self.store.hits, self.store.misses = cached, run
                 return got
         return self.step_call(title, call, value, env, notes)
@@ -384,6 +384,8 @@ class Interpreter:
     def step_call(self, title, call, value, env, notes):
         """One call, ``value`` being what is piped in (None: nothing)."""
         fn = env.resolve(title)
+        if isinstance(fn, TableFunction) and value is not None:
+            value = as_frame(self.spark, value)
         if isinstance(fn, (C.Closure, C.RowFunction)) or (fn is not None and callable(fn)):
             args = ([] if value is None else [value]) + [self.value(a, env) for a in call.args]
             return self.apply(fn, args, {k: self.value(v, env) for k, v in call.named}, env)

@@ -67,10 +67,43 @@ def forget(df: DataFrame) -> None:
         _delete(*entry)
 
 
+class Files:
+    """The file system of a path, whichever it is: what the driver stores there
+    the executors find."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.bytes = spark._jvm.org.apache.commons.io.IOUtils
+
+    def exists(self, path: str) -> bool:
+        return self.fs.exists(self.path(path))
+
+    def delete(self, path: str) -> None:
+        self.fs.delete(self.path(path), True)
+
+    def move(self, old: str, new: str) -> bool:
+        """False where ``new`` is taken."""
+        self.fs.mkdirs(self.path(new).getParent())
+        return not self.exists(new) and self.fs.rename(self.path(old), self.path(new))
+
+    def read(self, path: str) -> str:
+        stream = self.fs.open(self.path(path))
+        try:
+            return bytes(self.bytes.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def write(self, path: str, text: str) -> None:
+        stream = self.fs.create(self.path(path), True)
+        try:
+            stream.write(text.encode())
+        finally:
+            stream.close()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    Files(spark, path).delete(path)
 
 
 @atexit.register

@@ -7,6 +7,7 @@ large tables and promises no row order unless one is named with ``order_by``.
 
 from __future__ import annotations
 
+import io
 import json
 import os
 
@@ -72,7 +73,9 @@ def load(spark: SparkSession, path: str, order_by: list[str] | None = None) -> F
             f = lines.indexed("index")
             return Frame(f.data.select("line", "index", *f.secret), f.order)
         else:
-            raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"')
+            # only a line break within quotes asks for one task a file: then some line has an odd number of quote marks
+            odd = spark.read.text(path).filter(F.size(F.split("value", '"', -1)) % 2 == 0)
+            raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=not odd.isEmpty(), quote='"', escape='"')
             for c in raw.columns:
                 v = F.col(f"`{c}`")
                 raw = raw.withColumn(c, F.when(v.isin(*NULL_TOKENS), None).otherwise(v))
@@ -114,9 +117,9 @@ def _plain(x):
 
 def save(f: Frame, path: str, single: bool | None = None) -> None:
     """Write the rows in order. CSV, TXT and Parquet are written by the
-    executors: into a folder, or where ``single`` (default for small local
-    paths with a file ending) as one file. JSON and YAML documents are one
-    value each, so their rows pass through the driver one by one."""
+    executors: into a folder, or where ``single`` (default for local paths) into
+    parts that are joined to one file, byte by byte. JSON and YAML documents are one
+    value each, so their rows pass through the driver, a partition at a time."""
     end = os.path.splitext(path.rstrip("/"))[1].lower()
     df = f.visible()
     folder = os.path.dirname(path)
@@ -133,30 +136,40 @@ def save(f: Frame, path: str, single: bool | None = None) -> None:
         single = local
     if end == ".txt":
         text = df.select(F.col("line").cast("string")) if "line" in df.columns else df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
-        _lines(text, path, None) if single else text.write.mode("overwrite").text(path)
+        text = text.select(F.coalesce(text.columns[0], F.lit("")).alias("value"))
+        _parts(path, lambda to: text.write.text(to), None) if single else text.write.mode("overwrite").text(path)
         return
     if end == ".json":
         df.write.mode("overwrite").json(path)
         return
     flat = df.select(*[F.to_json(F.col(f"`{x.name}`")).alias(x.name) if isinstance(x.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(f"`{x.name}`") for x in df.schema.fields])
+    plain = {"escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     if single:
-        _lines(flat, path, flat.columns)
+        _parts(path, lambda to: flat.write.csv(to, **plain), flat.columns)
     else:
-        flat.write.mode("overwrite").csv(path, header=True, escape='"')
+        flat.write.mode("overwrite").csv(path, header=True, **plain)
 
 
-def _lines(df: DataFrame, path: str, header: list[str] | None) -> None:
+def _parts(path: str, write, header: list[str] | None) -> None:
+    """One file from the parts that the executors write beside it."""
     import csv
+    import glob
+    import shutil
+    import uuid
 
-    with open(path, "w", newline="") as out:
-        writer = csv.writer(out, lineterminator="\n")
-        if header is not None:
-            writer.writerow(header)
-        for row in df.toLocalIterator(prefetchPartitions=True):
-            if header is None:
-                out.write(("" if row[0] is None else str(row[0])) + "\n")
-            else:
-                writer.writerow(["" if v is None else v for v in row])
+    folder = f"{path}.{uuid.uuid4().hex}"
+    try:
+        write("file://" + os.path.abspath(folder))
+        with open(path, "wb") as out:
+            if header is not None:
+                line = io.StringIO()
+                csv.writer(line, lineterminator="\n").writerow(header)
+                out.write(line.getvalue().encode())
+            for part in sorted(glob.glob(f"{folder}/part-*")):
+                with open(part, "rb") as src:
+                    shutil.copyfileobj(src, out)
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 def _document(df: DataFrame, path: str, end: str) -> None:
