@@ -136,30 +136,34 @@ class _Tokens:
 def _words_only(plain: str) -> _Tokens:
     """``_scanned`` for texts of words alone, without links and scripts without blanks."""
     t = _Tokens()
+    every: list[str] = []
+    marked: list[tuple[int, int]] = []
     past_w, past_at = 0, 0
+    known = _ALL.__contains__
     for unit in _STOP.split(plain.lower()):
-        at = len(t.sizes)
+        at = len(every)
         for part in _PIECE.split(unit):
             if own := _ANY.findall(part):
-                t.pieces.append((len(t.sizes), own))
-                t.sizes += map(len, own)
-        t.dense += [False] * (len(t.sizes) - at)
-        words = [w for p in t.pieces[::-1] if p[0] >= at for w in p[1][::-1]][::-1] if len(t.sizes) > at else []
-        holds = [k for k, w in enumerate(words) if w in _ALL]
-        t.counts.update(words)
-        if not holds:
+                t.pieces.append((len(every), own))
+                every += own
+        words = every[at:]
+        held = sum(map(known, words))
+        if not held:
             past_w += len(words)
             continue
         if past_w >= ALONE:
-            t.mark(past_at, at)
-        past_w, past_at = 0, len(t.sizes)
-        t.glue += len(holds)
-        if len(words) >= RUN:
-            for a, b in zip([-1, *holds], [*holds, len(words)]):
-                if b - a - 1 >= RUN:
-                    t.mark(at + a + 1, at + b)
+            marked.append((past_at, at))
+        past_w, past_at = 0, len(every)
+        t.glue += held
+        if len(words) - held >= RUN:
+            holds = [k for k, w in enumerate(words) if w in _ALL]
+            marked += [(at + a + 1, at + b) for a, b in zip([-1, *holds], [*holds, len(words)]) if b - a - 1 >= RUN]
     if past_w >= ALONE:
-        t.mark(past_at, len(t.sizes))
+        marked.append((past_at, len(every)))
+    t.sizes, t.dense = list(map(len, every)), [False] * len(every)
+    t.counts.update(every)
+    for a, b in marked:
+        t.mark(a, b)
     return t
 
 
@@ -257,14 +261,15 @@ def describe(text: str) -> tuple[str, float, list[float]]:
         return "", float(len(text)), [0.0, 0.0, 1.0, 0.0, 0.0, 0.0]
     if any(t.dense) and (spans := _foreign(plain)):
         t = _scanned(plain, spans)
-    for a, b in _phrases(t.pieces):
-        t.mark(a, b)
+    if any(c >= PHRASES and len(w) > 2 and w not in _ALL for w, c in t.counts.items()):  # else no word heads phrases
+        for a, b in _phrases(t.pieces):
+            t.mark(a, b)
     chars = float(sum(t.sizes))
     dense_chars = sum(c for c, d in zip(t.sizes, t.dense) if d) if any(t.dense) else 0.0
     freq = np.fromiter(t.counts.values(), float) / n
     entropy = float(-(freq * np.log(freq)).sum() / math.log(n)) if n > 1 else 1.0
     top = sum(c for w, c in t.counts.most_common(8) if w not in _ALL and c > 1) / n
-    by = {lang: sum(c for w, c in t.counts.items() if w in words) for lang, words in _SETS.items()} if t.glue > 1 else {"": 0}
+    by = {lang: sum(map(t.counts.__getitem__, words & t.counts.keys())) for lang, words in _SETS.items()} if t.glue > 1 else {"": 0}
     lang = "ja" if t.kana else max(by, key=by.get) if max(by.values()) >= 2 else ""
     return lang, float(len(text)), [dense_chars / chars, t.glue / n, entropy, top, len(_MARK.findall(text)) / len(text), t.link_chars / chars]
 
