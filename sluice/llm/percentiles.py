@@ -26,9 +26,11 @@ PERCENTS = (50, 90, 95, 99)
 
 
 def summarize(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """``keys..., value, n``: the mergeable summary of one day or partition."""
+    """``keys..., value, n``: the mergeable summary of one day or partition. Rows
+    without a value are left out. A null key is a key of its own, so readings
+    without a day are not lost when days are put together."""
     return (
-        df.select(*keys, F.col(value).alias("value")).filter(_given(keys, "value"))
+        df.select(*keys, F.col(value).alias("value")).filter("value is not null")
         .groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
     )
 

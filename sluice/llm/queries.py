@@ -11,6 +11,7 @@ from sluice.llm.packing import pack_texts, token_counts
 from sluice.llm.percentiles import percentiles, summarize
 from sluice.llm.spam import LEAST_CHARS, stuffed
 from sluice.llm.topn import top_n
+from sluice.runtime import materialize
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -27,9 +28,10 @@ def p3_service_day_percentiles(spark, d):
 
 
 def p3_from_days(spark, d):
-    """The services' percentiles put together from the days' summaries."""
+    """The services' percentiles put together from the days' summaries, which are
+    stored: the passes of the bisection read them and not the logs."""
     days = summarize(table(spark, d, "logs").withColumn("day", F.to_date("log_ts")), ["service", "day"], "latency_ms")
-    return percentiles(days, ["service"], "value", weight="n")
+    return percentiles(materialize(days), ["service"], "value", weight="n")
 
 
 def p6_found(spark, d):
@@ -113,7 +115,7 @@ QUERIES = {f.__name__: f for f in (p3_service_percentiles, p3_service_day_percen
 SQL = {
     "p3_service_percentiles": _percentile_sql("service", ""),
     "p3_service_day_percentiles": _percentile_sql("service, day", "and log_ts is not null"),
-    "p3_from_days": _percentile_sql("service", "and log_ts is not null"),
+    "p3_from_days": _percentile_sql("service", ""),  # readings without a day count too: the services' percentiles
     "p8_invariants": """select container_kind, cast(capacity_tokens as bigint) as capacity, (select count(*) from documents where text is not null) as texts,
         0 as overfull, 0 as torn, 0 as split from containers where exists (select 1 from documents where text is not null)""",
     "p6_found": """select region, sale_id from (select region, sale_id, row_number() over

@@ -33,6 +33,8 @@ def test_percentiles_are_exact(spark, kind):
     assert {r[0]: tuple(r)[1:] for r in percentiles(df, ["g"], "v").collect()} == want
     days = summarize(df, ["g", "day"], "v")
     assert {r[0]: tuple(r)[1:] for r in percentiles(days, ["g"], "value", weight="n").collect()} == want
+    undated = summarize(df.withColumn("day", F.when(F.col("day") > 0, F.col("day"))), ["g", "day"], "v")
+    assert {r[0]: tuple(r)[1:] for r in percentiles(undated, ["g"], "value", weight="n").collect()} == want
     near = {r[0]: r for r in percentiles(df, ["g"], "v", tolerance=1000).collect()}
     assert all(0 <= near[g].p90 - want[g][2] <= 1000 for g in want)
     assert percentiles(df.limit(0), ["g"], "v").count() == 0
