@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sluice.functions import ml, viz
 from sluice.plans.interpreter import LIBRARIES, Interpreter, Table, row_function, table
 from sluice.plans.frame import as_frame
+from sluice.runtime import scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -77,9 +78,9 @@ def filter_none(spark, d):
     return load(spark, d, "logs").filter('it.status != none and it.log_level == "ERROR"').select("log_id", "service").df
 
 
-@query("select n_nationkey as id, upper(n_name) || '/' || n_regionkey as label from nation")
+@query("select c_custkey as id, upper(c_mktsegment) || '/' || c_nationkey as label from customer")
 def map_object(spark, d):
-    return load(spark, d, "nation").map('{id: it.n_nationkey, label: text.upper(it.n_name) + "/" + str(it.n_regionkey)}').df
+    return load(spark, d, "customer").map('{id: it.c_custkey, label: text.upper(it.c_mktsegment) + "/" + str(it.c_nationkey)}').df
 
 
 @query("select row_number() over (order by o_orderkey) - 1 as idx, o_custkey as cust from orders")
@@ -117,9 +118,9 @@ def drop(spark, d):
     return load(spark, d, "orders").drop("o_orderdate", "o_orderpriority", "no_such_field").df
 
 
-@query("select r_regionkey, r_name as region from region")
+@query("select o_orderkey, o_custkey as customer from orders")
 def rename(spark, d):
-    return load(spark, d, "region").rename(r_name="region").df
+    return load(spark, d, "orders").select("o_orderkey", "o_custkey").rename(o_custkey="customer").df
 
 
 @query("select c_custkey, {'c_custkey': c_custkey, 'c_nationkey': c_nationkey}.c_nationkey + 1 as n from customer")
@@ -142,15 +143,15 @@ def unique_rows(spark, d):
     return load(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber").unique().df
 
 
-@query("select n_name as name from nation union all select r_name from region")
+@query("select c_name as name, c_custkey as key from customer union all select p_name, p_partkey from part")
 def concat_tables(spark, d):
-    a = load(spark, d, "nation").select(name="it.n_name")
-    return a.concat(load(spark, d, "region").select(name="it.r_name")).df
+    a = load(spark, d, "customer").select(name="it.c_name", key="it.c_custkey")
+    return a.concat(load(spark, d, "part").select(name="it.p_name", key="it.p_partkey")).df
 
 
-@query("select r_name, m as model from region, (values ('a'), ('b'), ('c')) v(m)")
+@query("select o_orderkey, m as model from orders, (values ('a'), ('b'), ('c')) v(m)")
 def cross_values(spark, d):
-    return load(spark, d, "region").select("r_name").cross("model", ["a", "b", "c"]).df
+    return load(spark, d, "orders").select("o_orderkey").cross("model", ["a", "b", "c"]).df
 
 
 @query("select item_id, unnest(string_split(item_name, ' ')) as value from review_items")
@@ -180,10 +181,10 @@ def join_last_wins(spark, d):
     return load(spark, d, "customer").select("c_custkey").join(right, on="c_custkey").df
 
 
-@query("select n_regionkey, n_nationkey, r_name as n_name from nation join region on n_regionkey = r_regionkey")
+@query("select o_custkey, o_orderkey, c_name as o_orderstatus from orders join customer on o_custkey = c_custkey")
 def join_collision(spark, d):
-    right = load(spark, d, "region", "r_regionkey").select(n_regionkey="it.r_regionkey", n_name="it.r_name")
-    return load(spark, d, "nation").join(right, on="n_regionkey").df
+    right = load(spark, d, "customer", "c_custkey").select(o_custkey="it.c_custkey", o_orderstatus="it.c_name")
+    return load(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus").join(right, on="o_custkey").df
 
 
 @query("""select l.log_id, l.status, m.sale_id from logs l join (select status, max(log_id) as sale_id from logs group by 1) m
@@ -193,12 +194,12 @@ def join_null_key(spark, d):
     return load(spark, d, "logs").select("log_id", "status").join(right, on="status").df
 
 
-@query("select n_nationkey, n_name, r_name as region from nation join region on n_regionkey = r_regionkey")
+@query("select o_orderkey, c_name as customer from orders join customer on o_custkey = c_custkey")
 def find_lookup(spark, d):
     run = Interpreter(spark, LIBRARIES)
-    run.globals.set("regions", load(spark, d, "region", "r_regionkey").frame)
-    t = Table(load(spark, d, "nation").frame, run)
-    return t.add(region='find(regions, "r_regionkey", it.n_regionkey).r_name').select("n_nationkey", "n_name", "region").df
+    run.globals.set("customers", load(spark, d, "customer", "c_custkey").frame)
+    t = Table(load(spark, d, "orders").frame, run)
+    return t.add(customer='find(customers, "c_custkey", it.o_custkey).c_name').select("o_orderkey", "customer").df
 
 
 @query("select count(*) as n, round(sum(o_totalprice), 2) as total, round(avg(o_totalprice), 4) as average, min(o_totalprice) as low, max(o_totalprice) as high from orders")
@@ -249,10 +250,10 @@ def collapse_lambda_top(spark, d):
     return out.select("o_custkey", "top.o_orderkey", "top.o_totalprice")
 
 
-@query("select n_regionkey, string_agg(n_name, ',' order by n_nationkey) as names from nation group by 1")
+@query("select o_custkey, string_agg(o_orderpriority, ',' order by o_orderkey) as names from orders group by 1")
 def collapse_lambda_names(spark, d):
-    out = load(spark, d, "nation", "n_nationkey").collapse(by="n_regionkey", names="rows -> rows |> map(it.n_name)").df
-    return out.select("n_regionkey", F.array_join("names", ",").alias("names"))
+    out = load(spark, d, "orders", "o_orderkey").collapse(by="o_custkey", names="rows -> rows |> map(it.o_orderpriority)").df
+    return out.select("o_custkey", F.array_join("names", ",").alias("names"))
 
 
 @query("""select c_custkey, round(avg(c_acctbal) over (partition by c_nationkey), 6) as nation_mean,
@@ -340,9 +341,9 @@ def each_lambda_take(spark, d):
     return t.each("o_custkey", 'g -> g |> sort(by: "o_totalprice", dir: "desc") |> take(2)').drop("o_totalprice").df
 
 
-@query("select cast(sum(n_nationkey) as bigint) as total from nation")
+@query("select cast(sum(c_custkey) as bigint) as total from customer")
 def reduce_fold(spark, d):
-    got = load(spark, d, "nation", "n_nationkey").reduce(0, _lambda("(acc, x) -> acc + x.n_nationkey"))
+    got = load(spark, d, "customer", "c_custkey").reduce(0, _lambda("(acc, x) -> acc + x.c_custkey"))
     return spark.createDataFrame([(got,)], "total bigint")
 
 
@@ -393,29 +394,29 @@ def casts(spark, d):
 
 def _texts(name, expressions: dict, sql: str):
     def run(spark, d):
-        return load(spark, d, "eval_items").select("eval_id", **expressions).df
+        return load(spark, d, "documents").filter("it.text != none").select("doc_id", **expressions).df
 
     run.__name__ = name
-    query(f"select eval_id, {sql} from eval_items")(run)
+    query(f"select doc_id, {sql} from documents where text is not null")(run)
 
 
-_texts("text_case", {"lo": "text.lower(it.suite)", "up": "text.upper(it.suite)"}, "lower(suite) as lo, upper(suite) as up")
-_texts("text_trim", {"t": 'text.trim("  " + it.suite + "  ")'}, "suite as t")
-_texts("text_replace", {"r": 'text.replace(it.passage, "the", "THE")'}, "replace(passage, 'the', 'THE') as r")
-_texts("text_split", {"n": 'len(text.split(it.passage, " "))'}, "cast(len(string_split(passage, ' ')) as bigint) as n")
-_texts("text_join", {"j": 'text.join(text.split(it.suite, "_"), "-")'}, "replace(suite, '_', '-') as j")
+_texts("text_case", {"lo": "text.lower(it.text)", "up": 'text.upper(text.replace(it.text, "ß", "ss"))'}, "lower(text) as lo, upper(replace(text, 'ß', 'ss')) as up")
+_texts("text_trim", {"t": 'text.trim("  " + it.source + "  ")'}, "source as t")
+_texts("text_replace", {"r": 'text.replace(it.text, "the", "THE")'}, "replace(text, 'the', 'THE') as r")
+_texts("text_split", {"n": 'len(text.split(it.text, " "))'}, "cast(len(string_split(text, ' ')) as bigint) as n")
+_texts("text_join", {"j": 'text.join(text.split(it.text, " "), "_")'}, "replace(text, ' ', '_') as j")
 _texts(
     "text_tests",
-    {"c": 'text.contains(it.passage, "the")', "s": 'text.starts_with(it.passage, "The")', "e": 'text.ends_with(it.passage, ".")'},
-    "contains(passage, 'the') as c, starts_with(passage, 'The') as s, suffix(passage, '.') as e",
+    {"c": 'text.contains(it.text, "the")', "s": 'text.starts_with(it.text, "The")', "e": 'text.ends_with(it.text, ".")'},
+    "contains(text, 'the') as c, starts_with(text, 'The') as s, suffix(text, '.') as e",
 )
-_texts("text_length", {"n": "text.length(it.passage)"}, "cast(length(passage) as bigint) as n")
-_texts("text_match", {"m": 'text.match(it.passage, "[0-9]+ [a-z]+z")'}, "regexp_matches(passage, '[0-9]+ [a-z]+z') as m")
+_texts("text_length", {"n": "text.length(it.text)"}, "cast(length(text) as bigint) as n")
+_texts("text_match", {"m": 'text.match(it.text, "[0-9]+ [a-z]+z")'}, "regexp_matches(text, '[0-9]+ [a-z]+z') as m")
 _texts(
-    "text_slice", {"a": "text.slice(it.passage, 2, 9)", "b": "text.slice(it.passage, -5)", "c": "text.at(it.suite, 1)", "o": "text.ord(text.at(it.suite, 0))"},
-    "substring(passage, 3, 7) as a, right(passage, 5) as b, substring(suite, 2, 1) as c, cast(unicode(suite) as bigint) as o",
+    "text_slice", {"a": "text.slice(it.text, 2, 9)", "b": "text.slice(it.text, -5)", "c": "text.at(it.source, 1)", "o": "text.ord(text.at(it.source, 0))"},
+    "substring(text, 3, 7) as a, right(text, 5) as b, substring(source, 2, 1) as c, cast(unicode(source) as bigint) as o",
 )
-_texts("text_chars", {"n": "len(text.chars(it.suite))", "h": "text.char(65 + it.eval_id % 26)"}, "cast(length(suite) as bigint) as n, chr(cast(65 + eval_id % 26 as integer)) as h")
+_texts("text_chars", {"n": "len(text.chars(it.text))", "h": "text.char(65 + it.doc_id % 20000)"}, "cast(length(text) as bigint) as n, chr(cast(65 + doc_id % 20000 as integer)) as h")
 
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
@@ -527,13 +528,11 @@ def concurrent_udf(spark, d):
     return t._call("add", twice="twice(it.n_chars)", notes=(("concurrent", (4,)), ("retry", (2,)))).select("doc_id", "twice").df
 
 
-@query("select eval_id, length(passage) as n from eval_items")
+@query("select doc_id, length(text) as n from documents where text is not null")
 def row_cache_rerun(spark, d):
-    import tempfile
-
-    run = Interpreter(spark, LIBRARIES, cache_dir=tempfile.mkdtemp(prefix="sluice-cache-"))
+    run = Interpreter(spark, LIBRARIES, cache_dir=scratch(spark))
     run.globals.set("measure", row_function(len, int))
-    t = Table(load(spark, d, "eval_items").select("eval_id", "passage").frame, run)
-    step = lambda: t._call("add", n="measure(it.passage)", notes=(("row_cache", ()),))
+    t = Table(load(spark, d, "documents").select("doc_id", "text").filter("it.text != none").frame, run)
+    step = lambda: t._call("add", n="measure(it.text)", notes=(("row_cache", ()),))
     step()
-    return step().select("eval_id", "n").df
+    return step().select("doc_id", "n").df

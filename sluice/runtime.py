@@ -59,6 +59,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A path in the shared folder that is free, and cleared when the session ends."""
+    path = f"{shared_folder(spark)}/sluice-{uuid.uuid4().hex}/it"
+    _written.append((spark, path.rpartition("/")[0]))
+    return path
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
     names = df.inputFiles()
@@ -79,6 +86,9 @@ class Files:
     def exists(self, path: str) -> bool:
         return self.fs.exists(self.path(path))
 
+    def is_folder(self, path: str) -> bool:
+        return self.exists(path) and self.fs.getFileStatus(self.path(path)).isDirectory()
+
     def delete(self, path: str) -> None:
         self.fs.delete(self.path(path), True)
 

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from sluice.plans.frame import HIDDEN, Frame, from_rows
 from sluice.plans.values import PipeError
+from sluice.runtime import Files
 
 #: Texts that stand for no value in a CSV file.
 NULL_TOKENS = (
@@ -65,8 +66,7 @@ def load(spark: SparkSession, path: str, order_by: list[str] | None = None) -> F
         elif end in (".yaml", ".yml"):
             import yaml
 
-            with open(path) as src:
-                got = yaml.safe_load(src)
+            got = yaml.safe_load(Files(spark, path).read(path))
             return from_rows(spark, [_plain(x) for x in (got if isinstance(got, list) else [got])])
         elif end == ".txt":
             lines = Frame(spark.read.text(path).select(F.col("value").alias("line")).filter(F.trim("line") != ""))
@@ -96,7 +96,7 @@ def load(spark: SparkSession, path: str, order_by: list[str] | None = None) -> F
 
 
 def _json(spark, path):
-    df = spark.read.json(path, multiLine=True)
+    df = spark.read.json(path, multiLine=not Files(spark, path).is_folder(path))  # a folder holds an object a line
     if df.columns == ["_corrupt_record"]:
         raise PipeError(f"load {path}: not JSON")
     casts = [F.col(f"`{f.name}`").cast(_wide(f.dataType)).alias(f.name) for f in df.schema.fields]
@@ -129,7 +129,7 @@ def save(f: Frame, path: str, single: bool | None = None) -> None:
     if end == ".parquet":
         df.write.mode("overwrite").parquet(path)
         return
-    if end in (".json", ".yaml", ".yml") and local:
+    if end in (".yaml", ".yml") or end == ".json" and local:
         _document(df, path, end)
         return
     if single is None:
@@ -172,9 +172,22 @@ def _parts(path: str, write, header: list[str] | None) -> None:
         shutil.rmtree(folder, ignore_errors=True)
 
 
+class _Text(io.StringIO):
+    """A document for another file system, written when it is whole."""
+
+    def __init__(self, spark, path):
+        super().__init__()
+        self.spark, self.path = spark, path
+
+    def __exit__(self, *failed):
+        if not any(failed):
+            Files(self.spark, self.path).write(self.path, self.getvalue())
+        return super().__exit__(*failed)
+
+
 def _document(df: DataFrame, path: str, end: str) -> None:
     rows = (r.asDict(recursive=True) for r in df.toLocalIterator(prefetchPartitions=True))
-    with open(path, "w") as out:
+    with open(path, "w") if "://" not in path else _Text(df.sparkSession, path) as out:
         if end == ".json":
             out.write("[")
             for i, r in enumerate(rows):
