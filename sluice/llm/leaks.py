@@ -324,8 +324,10 @@ def covered(at: np.ndarray, place: np.ndarray) -> int:
     return best
 
 
-def _reach(length: int) -> int:
-    return 2 * length + 80
+def _reach(length: int, share: float) -> int:
+    """Words of a text that a stretch of that share of a passage spans at most."""
+    held = math.ceil(share * length)
+    return held + FOREIGN[1] + math.ceil(edits_allowed(held))
 
 
 def stretches(at, place, length: int, need: int):
@@ -421,7 +423,7 @@ def leaked(docs: DataFrame, items: DataFrame, id: str, text: str, item: str, pas
     bits = min(most_bits, 2 ** max(10, math.ceil(math.log2(BITS_A_SEED * n))))
     table = spark.sparkContext.broadcast(_bitmap(seeds, bits))
     sifted = materialize(
-        rows.mapInPandas(_sift(table, bits, need, _reach(longest)), "uid bigint, doc bigint, w array<int>, place array<int>, g array<bigint>")
+        rows.mapInPandas(_sift(table, bits, need, _reach(longest, share)), "uid bigint, doc bigint, w array<int>, place array<int>, g array<bigint>")
     )
     # shuffled or broadcast as the measured sizes ask for
     hits = sifted.select("uid", F.explode(F.arrays_zip("place", "g")).alias("h")).select("uid", "h.place", "h.g")
