@@ -118,6 +118,11 @@ SQL = {
     "p3_from_days": _percentile_sql("service", ""),  # readings without a day count too: the services' percentiles
     "p8_invariants": """select container_kind, cast(capacity_tokens as bigint) as capacity, (select count(*) from documents where text is not null) as texts,
         0 as overfull, 0 as torn, 0 as split from containers where exists (select 1 from documents where text is not null)""",
+    "p7_found": """with v as (select item_id, cast(embedding as double[]) as e from catalog_items where len(embedding) = 64
+          and not list_bool_or(list_transform(embedding, lambda x: x is null or isnan(x))) and list_bool_or(list_transform(embedding, lambda x: x != 0))),
+        n as (select a.item_id, list_sort(list(b.item_id)) as near from v a join v b on list_cosine_similarity(a.e, b.e) >= 0.86 group by 1),
+        g as (select near from n group by 1 having count(*) = len(near) and len(near) > 1)
+        select item_id, near[1] as head_id from n join g using (near)""",
     "p6_found": """select region, sale_id from (select region, sale_id, row_number() over
         (partition by region order by revenue desc, sale_id) as r from sales where region is not null and revenue is not null) q where r <= 5""",
 }

@@ -1,7 +1,8 @@
 """The N best items of every group, by mergeable bounded heaps.
 
-Each task keeps, for every group it meets, a heap of at most N (score, id)
-entries, so the shuffle carries at most N rows per group and task: a group with
+Each task keeps, for every group it meets, at most N (score, id) entries. New rows
+are gathered in a buffer of HELD_ROWS and sorted into the heaps all at once, in
+Arrow, which costs less a row than pushing each into a heap of its own. So the shuffle carries at most N rows per group and task: a group with
 a third of all rows costs no more than any other. The shuffle buckets by group
 and sorts by it, and the same heap merges the partial heaps of one group at a
 time. Higher score wins; equal scores rank by smaller id, so results never
