@@ -44,18 +44,19 @@ def correlations(f: Frame) -> dict[str, dict[str, float]]:
     return out
 
 
-def points(f: Frame, columns: list[str]) -> list[dict]:
-    """Rows for scatter and line plots, at most POINTS of them."""
+def points(f: Frame, columns: list[str], most: int = POINTS) -> list[dict]:
+    """Rows for scatter and line plots, at most ``most`` of them: a plot's points
+    are all on the driver."""
     for c in columns:
         if c not in f.columns:
             raise PipeError(f"no field {c}")
     df = f.data.select(*[F.col(f"`{c}`") for c in columns])
-    rows = df.orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in columns])).limit(POINTS)
+    rows = df.orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in columns])).limit(most)
     return [r.asDict() for r in rows.collect()]
 
 
-def series(f: Frame, x: str, y: str, *more: str) -> list[dict]:
-    return sorted(points(f, [x, y, *more]), key=lambda r: (r[x] is None, r[x]))
+def series(f: Frame, x: str, y: str, *more: str, most: int = POINTS) -> list[dict]:
+    return sorted(points(f, [x, y, *more], most), key=lambda r: (r[x] is None, r[x]))
 
 
 def draw(kind: str, data, path: str | None, **settings):
@@ -116,7 +117,8 @@ def step(kind: str, f: Frame, named: dict):
         display = named.get("display") if isinstance(named.get("display"), dict) else {}
         more = [named.get("color"), named.get("label"), display.get("label"), display.get("dotsize")]
         extra = [c for c in dict.fromkeys(more) if isinstance(c, str) and c in f.columns and c not in need]
-        data = points(f, [*need, *extra]) if kind == "scatter" else series(f, *need, *extra)
+        most = int(named.pop("points", POINTS))
+        data = points(f, [*need, *extra], most) if kind == "scatter" else series(f, *need, *extra, most=most)
     elif kind == "grid":
         numeric = [n for n, k in f.kinds().items() if isinstance(k, (*V.INTS, *V.REALS)) and not isinstance(k, T.BooleanType)]
         return {"kind": "grid", "data": {n: histogram(f, n) for n in numeric}, "settings": named, "path": None}

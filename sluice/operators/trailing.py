@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.runtime import materialize
+
 
 def trailing_totals(
     df: DataFrame, entity: str, ts: str, value: str, periods: tuple[int, ...] = (7, 30)
@@ -22,7 +24,7 @@ def trailing_totals(
     calendar of one row per entity holding its array of days, and the frames
     are RANGE frames over day numbers, so gaps need no filling to be right.
     """
-    daily = (
+    daily = materialize(  # a row per entity and day: the events are read once
         df.select(
             F.col(entity).alias("entity"),
             F.datediff(F.col(ts), F.lit("1970-01-01")).alias("day_no"),

@@ -22,7 +22,7 @@ from sluice.plans import steps as S
 from sluice.plans.cache import Store
 from sluice.plans.frame import HIDDEN, Err, Frame, Ok, as_frame
 from sluice.plans.values import PipeError
-from sluice.runtime import materialize
+from sluice.runtime import materialize, shared_folder
 from sluice.sources import io
 
 LIBRARIES = ("math", "text", "ml", "viz", "env")
@@ -820,5 +820,8 @@ def run_file(spark, path: str, cache: str | None = None) -> object:
             key, colon, value = line.partition(":")
             if colon:
                 settings[key.strip()] = value.strip().strip('"')
-    folder = cache or settings.get("cache_dir") or (os.path.join(os.path.dirname(path) or ".", ".cache") if settings.get("cache") == "true" else None)
+    folder = cache or settings.get("cache_dir")
+    if not folder and settings.get("cache") == "true":  # beside the program, or where the executors find it too
+        local = spark.sparkContext.master.startswith("local")
+        folder = os.path.join(os.path.dirname(path) or ".", ".cache") if local else f"{shared_folder(spark)}/sluice-cache"
     return Interpreter(spark, cache_dir=folder, quiet=settings.get("quiet") == "true").run(text)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
 import tempfile
 import uuid
@@ -66,6 +67,19 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+@contextlib.contextmanager
+def temporary():
+    """Tables that operators write within are deleted at the end: what is lazy
+    must have been run by then. Without it they stay until the process ends."""
+    before = list(_written)
+    try:
+        yield
+    finally:
+        for entry in [e for e in _written if e not in before]:
+            _written.remove(entry)
+            _delete(*entry)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
     names = df.inputFiles()

@@ -167,6 +167,18 @@ def test_a_changed_step_counts_as_missing(spark, tmp_path):
     assert go(ten) == ([10, 20], 0)
 
 
+def test_written_tables_are_cleared(spark):
+    from sluice import runtime
+
+    with runtime.temporary():
+        kept = runtime.materialize(spark.range(5))
+        assert kept.count() == 5
+        path = kept.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+    runtime.forget(runtime.materialize(spark.range(3)))
+
+
 def test_models_are_kept(spark, tmp_path):
     rows = [{"x": float(i), "z": float(i * i % 7), "y": 3.0 * i - (i * i % 7) + 1} for i in range(40)]
     i = run_with(spark, t=rows)
