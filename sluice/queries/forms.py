@@ -298,3 +298,28 @@ def plot_line(spark, d):
     rows = viz.series(t.frame, "n_regionkey", "y")
     assert [r["n_regionkey"] for r in rows] == sorted(r["n_regionkey"] for r in rows)
     return spark.createDataFrame([(r["n_regionkey"], r["y"]) for r in rows], "x int, y bigint")
+
+
+@query("select count(*) as n, cast(4 as bigint) as k, 0 as misplaced from embeddings")
+def kmeans_nearest(spark, d):
+    """Every row is labelled by the centre that is nearest to it."""
+    got = load(spark, d, "embeddings").ml("kmeans", k=4, on="embedding", out="cluster")
+    centres = [[float(x) for x in c] for c in got.artifacts["kmeans"]["model"].clusterCenters()]
+    e = F.col("embedding").cast("array<double>")
+    far = [F.aggregate(F.zip_with(e, F.lit(c), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x) for c in centres]
+    placed = got.df.select("cluster", F.array(*far).alias("far"))
+    wrong = F.get("far", F.col("cluster")) > F.array_min("far") + 1e-9
+    return placed.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").alias("k"), F.sum(wrong.cast("bigint")).alias("misplaced"))
+
+
+@query("select n_nationkey, n_name from nation")
+def printed_rows(spark, d):
+    import ast
+    import io
+
+    out = io.StringIO()
+    run = Interpreter(spark, LIBRARIES, out=out)
+    run.run(f'load("{d}/nation.parquet") |> select("n_nationkey", "n_name") |> sort(by: "n_nationkey") |> print()')
+    rows = [ast.literal_eval(line) for line in out.getvalue().splitlines()]
+    assert [r["n_nationkey"] for r in rows] == sorted(r["n_nationkey"] for r in rows)
+    return spark.createDataFrame([(r["n_nationkey"], r["n_name"]) for r in rows], "n_nationkey int, n_name string")
