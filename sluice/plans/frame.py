@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.plans.values import PipeError
 from sluice.runtime import materialize, shuffle_partitions
@@ -126,21 +129,33 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return placed.withColumn(name, F.col(name).bitwiseAND(F.lit((1 << 33) - 1)) + F.col(base)).drop(part, base)
 
 
+def _running(batches):
+    """Adds to sorted (value, count) rows of a partition the counts before each."""
+    from pyspark import TaskContext
+
+    part, total = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        if batch.num_rows:
+            n = batch.column(1).to_numpy()
+            before = np.cumsum(n) - n + total
+            total += int(n.sum())
+            parts = pa.array(np.full(batch.num_rows, part, np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before), parts], names=["_v", "_n", "_in", "_part"])
+
+
 def ranked(df: DataFrame, value: str, descending: bool, name: str) -> DataFrame:
     """SQL RANK over the whole table: distinct values with their counts are
     numbered as in ``numbered``, then joined back."""
-    part, base = f"{HIDDEN}part", f"{HIDDEN}base"
-    key = F.col(value).desc() if descending else F.col(value).asc()
-    counts = df.groupBy(F.col(value)).count()
-    laid = materialize(counts.repartitionByRange(shuffle_partitions(df.sparkSession), key).withColumn(part, F.spark_partition_id()))
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    sizes = laid.groupBy(part).agg(F.sum("count").alias("n"))
-    bases = sizes.select(part, F.coalesce(F.sum("n").over(before(Window.orderBy(part))), F.lit(0)).alias(base))
-    inside = F.coalesce(F.sum("count").over(before(Window.partitionBy(part).orderBy(key))), F.lit(0))
-    table = laid.withColumn("_in", inside).join(F.broadcast(bases), part).select(
-        F.col(value).alias("_v"), (F.col("_in") + F.col(base) + 1).cast("bigint").alias(name)
-    )
-    return df.join(table, df[value].eqNullSafe(table["_v"]), "left").drop("_v")
+    counts = df.groupBy(F.col(f"`{value}`").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    key = F.col("_v").desc() if descending else F.col("_v").asc()
+    sorted_ = counts.repartitionByRange(shuffle_partitions(df.sparkSession), key).sortWithinPartitions(key)
+    schema = T.StructType([*counts.schema.fields, T.StructField("_in", T.LongType()), T.StructField("_part", T.LongType())])
+    laid = materialize(sorted_.mapInArrow(_running, schema))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = laid.groupBy("_part").agg(F.sum("_n").alias("_size"))  # one row per partition
+    bases = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
+    table = laid.join(F.broadcast(bases), "_part").select("_v", (F.col("_in") + F.col("_base") + 1).alias(name))
+    return df.join(table, df[f"`{value}`"].eqNullSafe(table["_v"]), "left").drop("_v")
 
 
 def single(df: DataFrame) -> Column:
@@ -173,8 +188,6 @@ def from_rows(spark, rows: list[dict]) -> Frame:
             columns[n] = [float(v) if isinstance(v, int) and not isinstance(v, bool) else v for v in values]
         if all(v is None for v in values):
             columns[n] = [None] * len(rows)
-    from pyspark.sql import types as T
-
     data = [(*[columns[n][i] for n in names], i) for i in range(len(rows))]
     fields = []
     for n in names:
@@ -185,8 +198,6 @@ def from_rows(spark, rows: list[dict]) -> Frame:
 
 
 def _kind_of(values):
-    from pyspark.sql import types as T
-
     real = [v for v in values if v is not None]
     if not real:
         return T.StringType()
