@@ -363,34 +363,42 @@ def least_score(n: int, share: float) -> float:
     return max(0.0, MATCH * (held - edits) + OPEN * (edits + 1) + EXTEND * FOREIGN[1]) * DENSITY
 
 
+def _windows(frames):
+    """``uid, p, lo, hi``: the windows of each candidate, before its words are fetched."""
+    for pdf in frames:
+        out = []
+        for uid, p, n, need, at, place in zip(*[pdf[c].tolist() for c in ("uid", "p", "n", "need", "at", "place")]):
+            out += [(uid, p, max(0, lo), hi) for lo, hi in stretches(at, place, n, need)]
+        yield pd.DataFrame(out, columns=["uid", "p", "lo", "hi"])
+
+
 def _judge(share: float):
-    """Of each candidate (doc, p, need, at, place, pw, w) the best alignment."""
+    """The best alignment in each window (uid, doc, p, pw, t) that covers the share."""
 
     def run(frames):
         for pdf in frames:
-            jobs = []
-            for row, (need, at, place, p, w) in enumerate(zip(pdf["need"].tolist(), pdf["at"], pdf["place"], pdf["pw"], pdf["w"])):
-                for lo, hi in stretches(at, place, len(p), need):
-                    jobs.append((row, p, w[max(0, lo) : hi]))
-            jobs.sort(key=lambda j: len(j[2]))
-            best: dict[int, tuple[int, float]] = {}
+            jobs = sorted(enumerate(zip(pdf["pw"], pdf["t"])), key=lambda j: len(j[1][1]))
+            held: list[tuple] = []
             start = 0
             while start < len(jobs):
-                # jobs of like width together; one text of any length still fits
+                # windows of like width together; one of any length still fits
                 stop = start + 1
-                while stop < len(jobs) and (stop - start + 1) * len(jobs[stop][2]) <= CELLS:
+                while stop < len(jobs) and (stop - start + 1) * len(jobs[stop][1][1]) <= CELLS:
                     stop += 1
                 own = jobs[start:stop]
                 start = stop
-                score, end, marks = _fill([j[1:] for j in own])
-                for n, (row, p, t) in enumerate(own):
+                if not len(own[-1][1][1]):
+                    continue
+                score, end, marks = _fill([j for _, j in own])
+                for n, (row, (p, t)) in enumerate(own):
                     if score[n] >= least_score(len(p), share):
                         i, j = end[n].tolist()
                         lines = [r.tobytes() for r in marks[:i, n]]
-                        best[row] = max(best.get(row, (0, 0.0)), (covered(*_trace(p, t, lines, i, j)), float(score[n]) / SCALE))
+                        words_held = covered(*_trace(p, t, lines, i, j))
+                        if words_held >= share * len(p):
+                            held.append((pdf["uid"].iloc[row], pdf["doc"].iloc[row], pdf["p"].iloc[row], float(score[n]) / SCALE, words_held / len(p)))
                 del marks
-            held = [(pdf["doc"].iloc[r], pdf["p"].iloc[r], s, c / len(pdf["pw"].iloc[r])) for r, (c, s) in sorted(best.items())]
-            yield pd.DataFrame([h for h in held if h[3] >= share], columns=["doc", "p", "score", "held"])
+            yield pd.DataFrame(held, columns=["uid", "doc", "p", "score", "held"])
 
     return run
 
@@ -428,11 +436,15 @@ def leaked(docs: DataFrame, items: DataFrame, id: str, text: str, item: str, pas
     # shuffled or broadcast as the measured sizes ask for
     hits = sifted.select("uid", F.explode(F.arrays_zip("place", "g")).alias("h")).select("uid", "h.place", "h.g")
     met = (
-        hits.join(seeds.select("g", "p", "at", "need"), "g").groupBy("uid", "p")
-        .agg(F.first("need").alias("need"), F.collect_list(F.struct("at", "place")).alias("h"))  # bounded by one text
+        hits.join(seeds.select("g", "p", "at", "need", "n"), "g").groupBy("uid", "p")
+        .agg(F.first("need").alias("need"), F.first("n").alias("n"), F.collect_list(F.struct("at", "place")).alias("h"))  # bounded by one text
         .filter(F.size(F.array_distinct("h.at")) >= F.col("need"))
-        .select("uid", "p", "need", "h.at", "h.place")
+        .select("uid", "p", "n", "need", "h.at", "h.place")
     )
-    full = met.join(passages.select("p", F.col("w").alias("pw")), "p").join(sifted.select("uid", "doc", "w"), "uid")
-    found = full.select("doc", "p", "need", "at", "place", "pw", "w").mapInPandas(_judge(share), "doc bigint, p bigint, score double, held double")
+    windows = met.mapInPandas(_windows, "uid bigint, p bigint, lo int, hi int")
+    full = windows.join(passages.select("p", F.col("w").alias("pw")), "p").join(sifted.select("uid", "doc", "w"), "uid")
+    part = F.slice("w", F.col("lo") + 1, F.greatest(F.least("hi", F.size("w")) - F.col("lo"), F.lit(0)))
+    aligned = full.select("uid", "doc", "p", "pw", part.alias("t")).mapInPandas(_judge(share), "uid bigint, doc bigint, p bigint, score double, held double")
+    best = F.max(F.struct("held", "score"))  # a text may have several windows
+    found = aligned.groupBy("uid", "p").agg(F.first("doc").alias("doc"), best.alias("b")).select("p", "doc", "b.score", "b.held")
     return found.join(known.select("p", "item"), "p").select("doc", "item", "score", "held")
