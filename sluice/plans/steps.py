@@ -13,7 +13,7 @@ from sluice.plans import compiler as C
 from sluice.plans import values as V
 from sluice.plans.frame import HIDDEN, Frame, as_frame, hidden
 from sluice.plans.values import PipeError
-from sluice.runtime import materialize
+from sluice.runtime import free_name, materialize
 
 LOOKUP = f"{HIDDEN}find"
 CROSSED = 10_000  # rows of a table of values
@@ -430,7 +430,7 @@ def collapse(f, call, env, notes):
         data = data.filter(_q(k).isNotNull())
         if isinstance(f.kinds()[k], V.REALS):
             data = data.filter(~F.isnan(_q(k).cast("double")))
-    base, vectors, tops, g = {}, {}, {}, f
+    base, vectors, tops, pipes, g = {}, {}, {}, {}, f
     for name, node in named.items():
         column = C.column_of(node.args[0]) if isinstance(node, ast.Call) and node.args else None
         title = C.dotted(node.fn) if isinstance(node, ast.Call) else None
@@ -442,6 +442,8 @@ def collapse(f, call, env, notes):
             base[name] = C.aggregate(title, scope.row[column] if column else None).col
         elif _is_function(node, env) and (best := _best_rows(node, f, env)) is not None:
             tops[name] = best
+        elif _is_function(node, env) and (steps := _pushed_steps(node, env)) is not None:
+            pipes[name] = steps
         elif _is_function(node, env):
             if not g.order:
                 g = g.sequenced()
@@ -455,6 +457,8 @@ def collapse(f, call, env, notes):
         out = _vector(out, data, keys, name, title, column)
     for name, (key, down, n) in tops.items():
         out = _top_rows(out, data if f.order else _reorder(f.sequenced(), by, f), keys, f if f.order else f.sequenced(), name, key, down, n)
+    for name, steps in pipes.items():
+        out = _piped_rows(out, f, keys, by, steps, name, env)
     wanted = [*by, *[n for n in call_order(call) if n in named]]
     order = []
     picked = [_q(c) for c in wanted]
@@ -519,6 +523,43 @@ def _best_rows(node, f: Frame, env) -> tuple[str, bool, int] | None:
     return key, "dir" in named and env.evaluate(named["dir"]) == "desc", n
 
 
+#: Steps of a function of rows that work on the group's list.
+_LISTED = {"map", "filter", "reduce", "len", "first", "last", "get", "slice", "take", "sort", "select", "drop", "add", "collapse"}
+
+
+def _pushed_steps(node, env):
+    """Steps of a function of rows that lists can't run, where ``each`` runs them
+    for all groups at once; else None."""
+    got = _steps_of(node, env)
+    if got is None or getattr(env, "run", None) is None:
+        return None
+    names = [C.dotted(s.fn) for s in got[1]]
+    from sluice.plans.interpreter import PUSHED
+
+    return got[1] if not set(names) <= _LISTED and set(names) <= PUSHED else None
+
+
+def _piped_rows(out, f: Frame, keys, by, steps, name, env):
+    """The rows that a sub-pipe gives for each group, as a list."""
+    groups = by or [free_name(f.columns, "whole")]
+    source = f if by else f.with_data(f.data.withColumn(groups[0], F.lit(1)))
+    got = env.run.each_pushed(source, groups, [ast.Step(s, True, ()) for s in steps], env)
+    if not isinstance(got, Frame):
+        raise PipeError(got.msg)
+    got = got.sequenced()
+    columns = [c for c in got.columns if by or c not in groups]
+    row = F.struct(*[_q(c).alias(c) for c in columns])
+    order = F.struct(*[_q(c).alias(f"o{i}") if up else (-_q(c)).alias(f"o{i}") for i, (c, up) in enumerate(got.order)])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), row.alias("r")))), lambda x: x["r"]).alias(name)
+    if not by:
+        made = got.data.agg(listed)
+        return out.join(made) if out.columns else made
+    made = got.data.groupBy(*[_q(k).alias(f"_m_{k}") for k in by]).agg(listed)
+    none = F.array().cast(made.schema[name].dataType)
+    joined = out.join(made, [out[k].eqNullSafe(made[f"_m_{k}"]) for k in by], "left").drop(*[f"_m_{k}" for k in by])
+    return joined.withColumn(name, F.coalesce(name, none))
+
+
 def _top_rows(out, data, keys, f: Frame, name, key, down, n):
     """The first n rows of each group as a list; all others are dropped by a
     limit within the window, so no list is longer than n."""

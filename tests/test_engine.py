@@ -236,3 +236,13 @@ def test_summary_of_steps(spark, capsys):
     i.run('t |> add(c: it.a / it.b) |> drop("b")')
     err = capsys.readouterr().err
     assert "add" in err and "+c (errors kept apart)" in err and "2 cols -b" in err
+
+
+def test_functions_of_rows_with_any_pushed_steps(spark):
+    rows = [{"g": g, "v": v, "i": i} for i, (g, v) in enumerate([("a", 1), ("a", 3), ("b", 2), ("a", 3), ("b", 2)])]
+    t = Table(rows, spark=spark)
+    got = {r["g"]: [(x["i"], x["w"]) for x in r["u"]] for r in t.collapse(by="g", n="count()", u='rows -> rows |> unique(by: "v") |> rename(v: "w")').rows()}
+    assert got == {"a": [(0, 1), (1, 3)], "b": [(2, 2)]}
+    assert [x["i"] for x in t.collapse(u='rows -> rows |> unique(by: "v")').rows()[0]["u"]] == [0, 1, 2]
+    ranked = t.collapse(by="g", u='rows -> rows |> add(r: rank(col.v, dir: "desc")) |> rename(r: "place")').rows()
+    assert {r["g"]: [x["place"] for x in r["u"]] for r in ranked} == {"a": [3, 1, 1], "b": [1, 1]}

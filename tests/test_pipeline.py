@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.operators.event_features import event_features
+from sluice.operators.event_features import event_counts, event_features
 from sluice.operators.rejects import NULL_TOKENS, load_strict
 from sluice.operators.spikes import flag_implausible
 from sluice.operators.trailing import trailing_totals
@@ -262,6 +262,19 @@ def test_features_match_pandas(spark):
         age = (end - g.ts.max()).total_seconds() if g.ts.notna().any() else None
         assert (got[s][f"{k}_n"], got[s][f"{k}_total"], got[s][f"{k}_age_s"]) == (len(g), int(g.v.fillna(0).sum()), age)
     assert event_features(df.limit(0), "svc", [F.col("lv")], "ts", "v").count() == 0
+    listed = {r.entity: r for r in event_features(df, "svc", [F.col("lv"), F.col("st")], "ts", "v", kinds=["E_1", "Z_9"]).collect()}
+    assert set(listed) == set(got) and len(listed["s0"]) == 10
+    for s, r in listed.items():
+        rest = [k for k in p.kind.unique() if k != "E_1"]
+        assert (r["E_1_n"], r["Z_9_n"], r["Z_9_age_s"]) == (got[s]["E_1_n"], 0, None) and r["other_n"] == sum(got[s][f"{k}_n"] for k in rest)
+        ages = [got[s][f"{k}_age_s"] for k in rest if got[s][f"{k}_age_s"] is not None]
+        assert r["other_age_s"] == (min(ages) if ages else None)
+    same = spark.createDataFrame([("a", "x", None, 1), ("a", "X", None, 2)], "s string, k string, ts timestamp_ntz, v int")
+    assert event_features(same, "s", [F.col("k")], "ts", "v").columns == ["entity", "X_n", "X_total", "X_age_s", "x_n_", "x_total_", "x_age_s_"]
+    empty = event_features(df.limit(0), "svc", [F.col("lv")], "ts", "v", kinds=["E"])
+    assert empty.count() == 0 and empty.columns == ["entity", "E_n", "E_total", "E_age_s", "other_n", "other_total", "other_age_s"]
+    long = {(r.entity, r.kind): (r.n, r.total, r.age_s) for r in event_counts(df, "svc", [F.col("lv"), F.col("st")], "ts", "v").collect()}
+    assert all(long[s, k] == (got[s][f"{k}_n"], got[s][f"{k}_total"], got[s][f"{k}_age_s"]) for s, k in long) and len(long) == len(p.groupby(["svc", "kind"]))
     with pytest.raises(ValueError):
         many = spark.range(6000).select(F.lit("a").alias("s"), "id", F.lit(None).cast("timestamp_ntz").alias("ts"))
         event_features(many, "s", [F.col("id")], "ts", "id")
