@@ -59,7 +59,7 @@ def txt_round_trip(spark, d):
     return t.collapse(by="line", n="count()").df
 
 
-@query("select * from (values (1, 'x', 2.5), (2, null, 3.0), (3, 'z', null)) t(a, b, c)")
+@query("select a, b, cast(c as double) as c from (values (1, 'x', 2.5), (2, null, 3.0), (3, 'z', null)) t(a, b, c)")
 def list_literal(spark, d):
     return program(spark, d, '[{a: 1, b: "x", c: 2.5}, {a: 2, c: 3}, {a: 3, b: "z"}] |> select("a", "b", "c")').withColumn("a", F.col("a").cast("int"))
 
@@ -74,7 +74,7 @@ def range_values(spark, d):
     ).df.withColumn("total", F.col("total").cast("bigint"))
 
 
-@query("select vec_id, 1.5 as a, round(cast(embedding[2] as double), 6) as b, -1.0 as c, len(embedding) as n from embeddings")
+@query("select vec_id, cast(1.5 as double) as a, round(cast(embedding[2] as double), 6) as b, cast(-1 as double) as c, len(embedding) as n from embeddings")
 def list_set(spark, d):
     t = Table(load(spark, d, "embeddings").df.withColumn("e", F.col("embedding").cast("array<double>")))
     t = t.add(s="set(set(it.e, 0, 1.5), 63, 0 - 1.0)").select("vec_id", a="it.s[0]", b="it.s[1]", c="it.s[63]", n="len(it.s)")
