@@ -22,6 +22,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -180,28 +181,44 @@ def _bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
+
+
 def _sift(table, bits: int, need: int, reach: int):
     """Texts of which some stretch may hold ``need`` seeds, with their words and
-    the n-grams that may be seeds."""
+    the n-grams that may be seeds; the texts of a batch are worked on together."""
 
-    def run(frames):
+    def run(batches):
         from pyspark import TaskContext
 
         bitmap = table.value
         task, nth = TaskContext.get().partitionId() << 33, 0
-        for pdf in frames:
-            out = []
-            for doc, text in zip(pdf["doc"].tolist(), pdf["t"]):
-                w = numbers(words(text))
-                g = grams(w)
-                if len(g) < need:
-                    continue
-                a, b = _bit_places(g, bits)
-                hit = np.flatnonzero((bitmap[a >> 3] >> (a & 7)) & (bitmap[b >> 3] >> (b & 7)) & 1)
-                if len(hit) >= need and (hit[need - 1 :] - hit[: len(hit) - need + 1]).min() <= reach:
-                    out.append((task + nth, doc, _short(w), hit.astype(np.int32), g[hit].view(np.int64)))
-                    nth += 1
-            yield pd.DataFrame(out, columns=["uid", "doc", "w", "place", "g"])
+        for batch in batches:
+            found = [words(t) for t in batch["t"].to_pylist()]
+            size = np.array([len(f) for f in found], np.int64)
+            w = numbers([x for f in found for x in f])
+            g = grams(w)
+            if len(g) < need:
+                continue
+            row = np.repeat(np.arange(len(size)), size)  # of each word
+            a, b = _bit_places(g, bits)
+            maybe = (bitmap[a >> 3] >> (a & 7)) & (bitmap[b >> 3] >> (b & 7)) & 1
+            hit = np.flatnonzero((maybe == 1) & (row[: len(g)] == row[GRAM - 1 :]))  # no n-gram of two texts
+            if len(hit) < need:
+                continue
+            first, last = hit[: len(hit) - need + 1], hit[need - 1 :]
+            keep = np.zeros(len(size), bool)
+            keep[row[first[(row[first] == row[last]) & (last - first <= reach)]]] = True
+            kept, hit = np.flatnonzero(keep), hit[keep[row[hit]]]
+            start = np.cumsum(size) - size
+            hits = np.bincount(row[hit], minlength=len(size))[kept]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(task + nth + np.arange(len(kept))), batch["doc"].take(pa.array(kept)), _lists(_short(w[keep[row]]), size[kept]),
+                 _lists((hit - start[row[hit]]).astype(np.int32), hits), _lists(g[hit].view(np.int64), hits)],
+                names=["uid", "doc", "w", "place", "g"],
+            )
+            nth += len(kept)
 
     return run
 
@@ -431,7 +448,7 @@ def leaked(docs: DataFrame, items: DataFrame, id: str, text: str, item: str, pas
     bits = min(most_bits, 2 ** max(10, math.ceil(math.log2(BITS_A_SEED * n))))
     table = spark.sparkContext.broadcast(_bitmap(seeds, bits))
     sifted = materialize(
-        rows.mapInPandas(_sift(table, bits, need, _reach(longest, share)), "uid bigint, doc bigint, w array<int>, place array<int>, g array<bigint>")
+        rows.mapInArrow(_sift(table, bits, need, _reach(longest, share)), "uid bigint, doc bigint, w array<int>, place array<int>, g array<bigint>")
     )
     # shuffled or broadcast as the measured sizes ask for
     hits = sifted.select("uid", F.explode(F.arrays_zip("place", "g")).alias("h")).select("uid", "h.place", "h.g")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.clusters import describe_groups, mixture_clusters, similarity_groups, unit_vectors
 from sluice.llm.leaks import leaked
-from sluice.llm.packing import pack_texts, token_counts
+from sluice.llm.packing import pack_texts
 from sluice.llm.percentiles import percentiles, summarize
 from sluice.llm.spam import LEAST_CHARS, stuffed
 from sluice.llm.topn import top_n

@@ -74,12 +74,13 @@ NORMAL = 0.5  # greatest density of a text that helps to make the norm
 CUT = 30.0  # squared distance
 DIRECTION = 0.3  # least share of the deviation that points towards spam
 
-_LINK = re.compile(r"(?:https?|hxxps?|ftp)://[^\s<>\"'\])]+|www\.[^\s<>\"'\])]+|[\w-]+(?:\.[\w-]+)+/[^\s<>\"'\])]*", re.I)
-_TOKEN = re.compile(r"([.!?。！？…]+(?=\s|$|[\"')\]])|[。！？\r\n]+)|\x00L(\d+)\x00|([぀-ヿ㐀-鿿豈-﫿]+)|([^\W_぀-ヿ㐀-鿿豈-﫿]+)")
-_STOP = re.compile(r"[.!?。！？…]+(?=\s|$|[\"')\]])|[。！？\r\n]+")
+_LINK = re.compile(r"(?:https?|hxxps?|ftp)://[^\s<>\"'\])]+|www\.[^\s<>\"'\])]+|(?<![\w-])[\w-]++(?:\.[\w-]++)+/[^\s<>\"'\])]*", re.I)
+# runs are taken whole and tried once, so that long ones cost no more than their length
+_TOKEN = re.compile(r"((?<![.!?。！？…])[.!?。！？…]++(?=\s|$|[\"')\]])|[。！？\r\n]+)|\x00L(\d+)\x00|([぀-ヿ㐀-鿿豈-﫿]+)|([^\W_぀-ヿ㐀-鿿豈-﫿]+)")
+_STOP = re.compile(r"(?<![.!?。！？…])[.!?。！？…]++(?=\s|$|[\"')\]])|[。！？\r\n]+")
 _ANY = re.compile(r"[^\W_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
-_SENTENCE = re.compile(r"[^.!?。！？…\r\n]+[.!?。！？…]+")
+_END = re.compile(r"[.!?。！？…]+|[\r\n]+")
 _LINK_MARK = re.compile(r"\x00L\d+\x00")
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]{0,500}>")
 _KANA_GLUE = re.compile(KANA_GLUE)
@@ -102,9 +103,12 @@ def _foreign(plain: str) -> list[tuple[int, int]]:
     long = Counter(w for w in parts if len(w) > SHORT)
     if sum(c for c in long.values() if c > 1) > REPEATED * max(1, len(parts)):
         return []
-    found, held = [], 0
-    for m in _SENTENCE.finditer(plain):
-        unit = m.group().strip(" \"'“”«»(¿¡-")
+    found, held, start = [], 0, 0
+    for m in _END.finditer(plain):
+        span, start = (start, m.end()), m.end()
+        if m.group() < " " or span[0] == m.start():  # a line break ends no sentence
+            continue
+        unit = plain[slice(*span)].strip(" \"'“”«»(¿¡-")
         own = _ANY.findall(unit)
         letters = sum(map(len, own))
         if unit and _CJK.match(unit):
@@ -112,7 +116,7 @@ def _foreign(plain: str) -> list[tuple[int, int]]:
         else:
             sound = len(own) >= 3 and unit[0].isupper() and sum(map(str.islower, own[1:])) >= 0.7 * (len(own) - 1) and not _PIECE.search(unit.replace(", ", " "))
         if sound:
-            found.append(m.span())
+            found.append(span)
             held += letters
     return found if held >= SENTENCE_SHARE * sum(map(len, words)) else []
 

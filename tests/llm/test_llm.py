@@ -464,6 +464,16 @@ def test_plain_texts_are_described_as_by_the_scan():
         assert [p for p in a.pieces if p[1]] == [p for p in b.pieces if p[1]]
 
 
+@pytest.mark.parametrize("text", ["x" * 300_000 + " a/b", "." * 300_000 + "x", " ".join(f"w{i}" for i in range(60_000)), "a-" * 150_000 + "/", "<" * 100_000, "日" * 200_000, "[" * 100_000 + "&lt;" * 30_000])
+def test_long_runs_cost_no_more_than_their_length(text):
+    import time
+
+    began = time.process_time()
+    describe(text)
+    words(text)
+    assert time.process_time() - began < 10
+
+
 # --- queries ------------------------------------------------------------------------------
 
 
