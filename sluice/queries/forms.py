@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import ml, viz
 from sluice.plans.frame import as_frame
-from sluice.plans.interpreter import LIBRARIES, Interpreter, Table, row_function, run_file
+from sluice.plans.interpreter import LIBRARIES, Interpreter, Table, run_file
 from sluice.queries.core import QUERIES, SQL, load, program, query  # noqa: F401
 from sluice.runtime import scratch
 

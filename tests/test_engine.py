@@ -1,7 +1,6 @@
 """Numbering, windows, caches, models, plots, files and Python functions."""
 
 import io
-import json
 import os
 
 import numpy as np
