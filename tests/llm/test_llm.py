@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm.clusters import describe_groups, exact_groups_by_force, fit_mixture, mixture_clusters, similarity_groups, unit_vectors
+from sluice.llm import clusters
+from sluice.llm.clusters import assigned, describe_groups, exact_groups_by_force, fit_mixture, mixture_clusters, similarity_groups, unit_vectors
 from sluice.llm.leaks import EXTEND, MATCH, MISS, OPEN, SCALE, _fill, align, covered, edits_allowed, FOREIGN, EDGE, grams, leaked, numbers, words
 from sluice.llm.packing import pack, pack_texts, tokenizer, default_vocabulary
 from sluice.llm.percentiles import percentiles, summarize
@@ -169,6 +170,33 @@ def test_mixture_prefers_the_true_number_of_components(spark):
     assert f.scores[4] < f.scores[1] and len(f.model.weight) == 4
 
 
+def test_mixtures_are_fitted_to_all_rows(spark, monkeypatch):
+    """20,000 rows of one kind and 200 of another whose hashes are among the greatest, so
+    that no choice of rows by hash, id and all, that leaves a quarter out, holds them."""
+    part = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000))
+    rare = [r.id for r in spark.range(20_000, 22_000).filter(part > 750_000).limit(200).collect()]
+    rng = np.random.default_rng(3)
+    v = np.vstack([np.eye(5)[0] + 0.1 * rng.normal(size=(20_000, 5)), np.eye(5)[1] + 0.1 * rng.normal(size=(200, 5))])
+    rows = [(i, [float(y) for y in x]) for i, x in zip([*range(20_000), *rare], v)]
+    units = unit_vectors(spark.createDataFrame(rows, "item bigint, e array<double>"), "item", "e").cache()
+    u = np.array([r.u for r in units.collect()], float)
+
+    f = fit_mixture(units, counts=(1,))
+    likelihood = np.logaddexp.reduce(f.logs(u), axis=1).sum()
+    assert f.scores[1] == pytest.approx(f.model.free_parameters() * np.log(20_200) - 2 * likelihood, rel=1e-9)
+
+    f = fit_mixture(units)
+    homes = {(r.comp, r.id >= 20_000) for r in assigned(units, f).select("comp", "id").collect()}
+    assert len(f.model.weight) > 1 and len(homes) == len({comp for comp, _ in homes})  # none holds both kinds
+
+    z = f.reduce(u)
+    whole = clusters._statistics(f.model, z)
+    monkeypatch.setattr(clusters, "CELLS", 1_000)
+    assert clusters._statistics(f.model, z) == pytest.approx(whole, rel=1e-9, abs=1e-6)
+    monkeypatch.setattr(clusters, "_PARTS", 2)  # fewer than cores: partial sums are added in groups first
+    assert fit_mixture(units, counts=(1, 2)).scores == pytest.approx({k: f.scores[k] for k in (1, 2)}, rel=1e-9)
+
+
 # --- packing ------------------------------------------------------------------------------
 
 
